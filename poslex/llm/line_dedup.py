@@ -6,8 +6,10 @@ similarity of at least the threshold, whether or not that line is itself removed
 number); a null doc_id comes last; documents that share a doc_id are ordered by a hash of their text.
 
 Method: count tokens over all lines into a table of fixed size, order each line's tokens by rarity, post the prefix
-of each distinct set, join postings under length, positional and bitmap filters, and verify the pairs that are left
-on whole sets. Equal sets meet by their identity and only their first line is posted.
+of each distinct set, pair postings of a token under length, positional and bitmap filters, and verify on whole sets.
+Equal sets meet by their identity and only their first line is posted. A line needs one match only: of its candidates
+the earliest is verified first, and all others where that one fails. Records travel through a shuffle as column
+blocks, one for each task and bucket; a task holds the blocks of its buckets in memory.
 
 Edge cases: a line without tokens is never removed and never a match. A null text comes out null, an empty one empty.
 Rows equal in doc_id and text are one document to the order and come out alike. A document that loses all lines comes
@@ -117,115 +119,269 @@ def _ranks(docs: DataFrame) -> np.ndarray:
     return rank
 
 
-def _located(batch: pa.RecordBatch, rank: np.ndarray) -> Iterator[tuple]:
-    """(doc, hash of text, line number, begin, size, tokens) of each line with tokens; numbers count within the row."""
-    doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    column = _vec.texts(batch.column(2), lower=True)
-    for at, raw, line_off, off in _lines(column):
-        first_line = np.searchsorted(line_off, off, "right") - 1
-        for index, begin, size, tok in _sets(raw, line_off, rank):
-            row = np.searchsorted(off, line_off[index], "right") - 1
-            yield doc[at + row], th[at + row], (index - first_line[row]).astype(np.int32), begin, size, tok
+def _blob(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
 
-def _prefixes(rank, percent: int):
+def _columns(blobs: list[bytes], kinds: str) -> list[np.ndarray]:
+    """The columns of blocks that _blob made, each as long as the others, put together."""
+    width, parts = sum(np.dtype(k).itemsize for k in kinds.split()), [[] for _ in kinds.split()]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for part, kind in zip(parts, kinds.split(), strict=True):
+            part.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds.split(), strict=True)]
+
+
+def _kept(n: np.ndarray, percent: int) -> np.ndarray:
+    """Size of the prefix of a set of n tokens."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _place(doc: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a line, from where it is."""
+    with np.errstate(over="ignore"):
+        return _vec.mix(_vec.mix(doc.view(U) ^ (th.view(U) * U(0x9E3779B97F4A7C15)), 2) + line.astype(U), 3)
+
+
+def _blocks(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(bucket, kind="stable")
+    columns, bucket = [c[order] for c in columns], bucket[order]
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
+        yield int(bucket[a]), [c[a:b] for c in columns]
+
+
+_LINE = "i8 i8 i8 i8 i4 i4"
+_POST = "u8 u8 u4 u4 u4"
+
+
+def _prefixes(rank, percent: int, buckets: int):
+    """Blocks of lines with tokens, by a bucket of their sets' identity: _LINE columns, and the prefixes behind one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            column, rows = _vec.texts(batch.column(2), lower=True), []
+            for at, raw, line_off, off in _lines(column):
+                first_line = np.searchsorted(line_off, off, "right") - 1
+                for index, begin, size, tok in _sets(raw, line_off, rank.value):
+                    row = np.searchsorted(off, line_off[index], "right") - 1
+                    ident, bits = _identity(begin, tok)
+                    spot = np.arange(len(tok)) - np.repeat(begin, size)
+                    keep = _kept(size, percent)
+                    rows.append((ident, bits, doc[at + row], th[at + row], (index - first_line[row]).astype(np.int32), size.astype(np.int32), (tok[spot < np.repeat(keep, size)] & U(0xFFFFFFFF)).astype(np.uint32)))
+            if not rows:
+                continue
+            *fixed, prefix = (np.concatenate(x) for x in zip(*rows, strict=True))
+            keep = _kept(fixed[5].astype(np.int64), percent)
+            start = np.cumsum(keep) - keep
+            out = [(b, _blob(*c), _blob(_ragged(prefix, start[i], keep[i]))) for b, (i, *c) in _blocks((fixed[0].view(U) % U(buckets)).astype(np.int64), np.arange(len(keep)), *fixed)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "fixed", "prefix"])
+
+    return run
+
+
+def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[s : s + n] for each start and size, behind one another."""
+    return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _firsts(percent: int):
+    """Of each set its first line, with the prefix (kind 0), and the places of the others (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed, prefix = [], []
+        for batch in batches:
+            fixed += batch.column(1).to_pylist()
+            prefix += batch.column(2).to_pylist()
+        if not fixed:
+            return
+        ident, bits, doc, th, line, n = _columns(fixed, _LINE)
+        values = _columns(prefix, "u4")[0]
+        keep = _kept(n.astype(np.int64), percent)
+        start = np.cumsum(keep) - keep
+        order = np.lexsort((line, th, doc, n, bits, ident))
+        ident, bits, doc, th, line, n = (x[order] for x in (ident, bits, doc, th, line, n))
+        head = np.r_[True, (ident[1:] != ident[:-1]) | (bits[1:] != bits[:-1]) | (n[1:] != n[:-1])]
+        own = np.flatnonzero(head)[np.cumsum(head) - 1]
+        dup = (doc != doc[own]) | (th != th[own]) | (line != line[own])
+        h = np.flatnonzero(head)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([0, 1], pa.int32()),
+                pa.array([_blob(_place(doc[h], th[h], line[h]), bits[h], n[h]), _blob(doc[dup], th[dup], line[dup])], pa.binary()),
+                pa.array([_blob(_ragged(values, start[order[h]], keep[order[h]])), b""], pa.binary()),
+            ],
+            ["kind", "fixed", "prefix"],
+        )
+
+    return run
+
+
+def _posts(percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, th, line, begin, size, tok in _located(batch, rank.value):
-                ident, bits = _identity(begin, tok)
-                keep = size - (percent * size + 99) // 100 + 1
-                place = np.arange(len(tok)) - np.repeat(begin, size)
-                values = (tok[place < np.repeat(keep, size)] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (ident, bits, size.astype(np.int32), doc, th, line)), prefix], ["ident", "bits", "n", "doc", "th", "line", "prefix"])
+            for fixed, prefix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, bits, n = _columns([fixed], "u8 u8 u4")
+                token, keep = np.frombuffer(prefix, np.uint32), _kept(n.astype(np.int64), percent)
+                rest = np.repeat(n + (np.cumsum(keep) - keep), keep) - np.arange(len(token))
+                out = [(b, _blob(*c)) for b, c in _blocks((token % np.uint32(buckets)).astype(np.int64), np.repeat(name, keep), np.repeat(bits, keep), token, np.repeat(n, keep), rest.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
+
+    return run
+
+
+def _paired(percent: int, block: int = 1 << 20):
+    """Pairs of sets that share a prefix token and pass the filters; a pair may come more than once."""
+    p = percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
+        if not blobs:
+            return
+        name, bits, token, n, rest = _columns(blobs, _POST)
+        key = (token.astype(U) << U(32)) | n
+        order = np.argsort(key)
+        key, name, bits, n, rest = key[order], name[order], bits[order], n[order].astype(np.int64), rest[order].astype(np.int64)
+        one = np.r_[True, key[1:] >> U(32) != key[:-1] >> U(32)]
+        alone = one & np.r_[one[1:], True]
+        # partners have as many tokens or more; distinct sets of equal size need room for one token apart
+        low = np.where((100 + p) * (n - 1) >= 2 * p * n, np.arange(len(n)) + 1, np.searchsorted(key, key, "right"))
+        high = np.searchsorted(key, (key >> U(32) << U(32)) | (100 * n // p).astype(U), "right")
+        count = np.where(alone, 0, np.maximum(0, high - low))
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+            size = count[at:to]
+            a = np.repeat(np.arange(at, to), size)
+            b = np.repeat(low[at:to] - (np.cumsum(size) - size), size) + np.arange(len(a))
+            at = to
+            both = n[a] + n[b]
+            ok = (100 + p) * np.minimum(rest[a], rest[b]) >= p * both
+            a, b, both = a[ok], b[ok], both[ok]
+            ok = (100 + p) * (both - np.bitwise_count(bits[a] ^ bits[b])) >= 2 * p * both
+            x, y = name[a[ok]].view(np.int64), name[b[ok]].view(np.int64)
+            if len(x):
+                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     return run
 
 
 def _wanted(rank, marks):
-    """The whole sets of lines whose identity is marked; a set's tokens once a task."""
+    """The whole sets of the lines whose names are marked, with bitmaps of 256 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = marks.value, set()
+        bitmap = marks.value
         for batch in batches:
-            for doc, th, line, begin, size, tok in _located(batch, rank.value):
-                ident, bits = _identity(begin, tok)
-                at = ident.view(U) % U(MARKS)
-                hit = np.flatnonzero(bitmap[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1))
+            doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            column = _vec.texts(batch.column(2), lower=True)
+            for at, raw, line_off, off in _lines(column):
+                first_line = np.searchsorted(line_off, off, "right") - 1
+                row = np.searchsorted(off, line_off[:-1], "right") - 1
+                line = (np.arange(len(row)) - first_line[row]).astype(np.int32)
+                name = _place(doc[at + row], th[at + row], line)
+                mark = name & U(MARKS - 1)
+                hit = np.flatnonzero(bitmap[(mark >> U(6)).astype(np.int64)] >> (mark & U(63)) & U(1))
                 if not len(hit):
                     continue
-                sets = []
-                for i in hit:
-                    key = (int(ident[i]), int(bits[i]))
-                    sets.append(None if key in seen else tok[begin[i] : begin[i] + size[i]].view(np.int64))
-                    seen.add(key)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[hit]) for x in (ident, bits, size.astype(np.int32), doc, th, line)), pa.array(sets, pa.list_(pa.int64()))], ["ident", "bits", "n", "doc", "th", "line", "tokens"])
+                size = line_off[hit + 1] - line_off[hit]
+                own = _ragged(raw, line_off[hit], size)
+                for index, begin, n, tok in _sets(own, np.r_[0, np.cumsum(size)], rank.value):
+                    i, bit = hit[index], U(1) << (tok >> U(58))
+                    word = (tok >> U(56)) & U(3)
+                    wide = [np.bitwise_xor.reduceat(np.where(word == w, bit, U(0)), begin).view(np.int64) for w in range(4)]
+                    tokens = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(tok)].astype(np.int32)), pa.array(tok.view(np.int64)))
+                    columns = (name[i].view(np.int64), n.astype(np.int32), doc[at + row[i]], th[at + row[i]], line[i], *wide)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tokens], ["name", "n", "doc", "th", "line", "w0", "w1", "w2", "w3", "tokens"])
 
     return run
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, text = [], batch.column(batch.schema.get_field_index("text"))
-        for t, gone in zip(text.to_pylist(), batch.column(batch.schema.get_field_index("gone")).to_pylist(), strict=True):
-            if gone:
-                drop, parts = set(gone), t.split("\n")
-                t = "\n".join(x for i, x in enumerate(parts) if i not in drop)
-            out.append(t)
-        i = batch.schema.get_field_index("text")
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if j == i else c for j, c in enumerate(batch.columns)], names=batch.schema.names)
+        doc, th, line = _columns(batch.column(0).to_pylist(), "i8 i8 i4")
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(line)], ["doc", "th", "line"])
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line numbers as an array that holds true at each of them."""
+    for batch in batches:
+        masks = []
+        for lines in batch.column(2):
+            at = lines.values.to_numpy()
+            mask = np.zeros(int(at.max()) + 1, np.bool_)
+            mask[at] = True
+            masks.append(mask)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in batch.column(2)], pa.int64()), pa.array(masks, pa.list_(pa.bool_()))], ["doc", "th", "n_gone", "gone"])
+
+
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the lowest bits of the names; more names only make it less selective."""
+    low = ids.select(F.col("name").bitwiseAND(F.lit(MARKS - 1)).alias("h")).select((F.col("h") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("m"))
+    found = low.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bitmap = np.zeros(MARKS // 64, U)
+    bitmap[found["w"].to_numpy()] = found["m"].to_numpy().view(U)
+    return bitmap
+
+
+def _gone(base: DataFrame, percent: int) -> DataFrame:
+    """doc, th, n_gone and a mask of the lines to remove, for each document that has any."""
+    spark, p = base.sparkSession, percent
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank = spark.sparkContext.broadcast(_ranks(base))
+    base = base.select("doc", "th", "text")
+    blocks = base.mapInArrow(_prefixes(rank, p, buckets), "bucket int, fixed binary, prefix binary").repartition("bucket")
+    sets = _run.materialise(blocks.mapInArrow(_firsts(p), "kind int, fixed binary, prefix binary"), "sets")
+    posts = sets.where("kind = 0").select("fixed", "prefix").mapInArrow(_posts(p, buckets), "bucket int, block binary").repartition("bucket")
+    pairs = _run.materialise(posts.mapInArrow(_paired(p), "a long, b long").distinct(), "pairs")
+    marks = spark.sparkContext.broadcast(_marked(pairs.select(F.explode(F.array("a", "b")).alias("name"))))
+    whole = base.mapInArrow(_wanted(rank, marks), "name long, n int, doc long, th long, line int, w0 long, w1 long, w2 long, w3 long, tokens array<long>")
+    whole = _run.materialise(whole, "whole")
+
+    def side(x: str, *columns: str) -> DataFrame:
+        place = F.struct("doc", "th", "line").alias("place")
+        return whole.select("name", "n", place, "w0", "w1", "w2", "w3", "tokens").select(F.col("name").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+    light = ("n", "place", "w0", "w1", "w2", "w3")
+    apart = " + ".join(f"bit_count(w{i}_a ^ w{i}_b)" for i in range(4))
+    near = pairs.join(side("a", *light), "a").join(side("b", *light), "b").where(f"place_a != place_b AND {100 + p}L * (n_a + n_b - ({apart})) >= {2 * p}L * (n_a + n_b)")
+    swap = F.col("place_a") > F.col("place_b")
+    near = _run.materialise(near.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("place_a", "place_b", "early"), ("place_b", "place_a", "late")))), "near")
+
+    def verified(x: DataFrame) -> DataFrame:
+        both = x.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
+        return both.where(f"{100 + p}L * size(array_intersect(tokens_a, tokens_b)) >= {p}L * (n_a + n_b)").select("b", "late").distinct()
+
+    best = near.groupBy("b").agg(F.min(F.struct("early", "a", "late")).alias("best")).select("b", "best.a", "best.late")
+    found = _run.materialise(verified(best), "found")
+    more = near.select("a", "b", "late").join(found.select("b"), "b", "left_anti")
+    bad = found.union(verified(more)).select("late.*")
+    other = sets.where("kind = 1").select("fixed").mapInArrow(_places, "doc long, th long, line int")
+    gone = other.union(bad).groupBy("doc", "th").agg(F.collect_set("line").alias("lines"))
+    return _run.materialise(gone.mapInArrow(_masks, "doc long, th long, n_gone long, gone array<boolean>"), "gone")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents with later matching lines removed: their columns in ``rest`` (a struct), doc_id, text, n_removed.
+    """The documents with later matching lines removed: doc_id, text, n_removed, and their other columns in a struct, rest.
 
     ``percent``: least Jaccard similarity of a match, in percent.
     """
-    spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), F.col("text").cast("string").alias("text"),
-        F.struct(F.col("doc_id").isNull().alias("no_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("own") if rest else F.lit(None).cast("string").alias("own")).alias("rest"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"),
+        F.col("doc_id").isNull().alias("no_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"),
     )
-    rank = spark.sparkContext.broadcast(_ranks(base))
-    lines = _run.materialise(base.select("doc", "th", "text").mapInArrow(_prefixes(rank, percent), "ident long, bits long, n int, doc long, th long, line int, prefix array<int>"), "lines")
-    key = ["ident", "bits", "n"]
-    sets = _run.materialise(lines.groupBy(key).agg(F.min(F.struct("doc", "th", "line", "prefix")).alias("first"), F.count("*").alias("c")), "sets")
-    posts = sets.select(*key, F.posexplode("first.prefix").alias("i", "token")).repartition("token")
-    p, a, b = percent, posts.alias("a"), posts.alias("b")
-    pairs = a.join(b, F.expr(
-        f"a.token = b.token AND a.n <= b.n AND 100L * a.n >= {p}L * b.n AND (a.n < b.n OR a.ident < b.ident OR a.ident = b.ident AND a.bits < b.bits)"
-        f" AND {100 + p}L * least(a.n - a.i, b.n - b.i) >= {p}L * (a.n + b.n)"
-        f" AND {100 + p}L * (a.n + b.n - bit_count(a.bits ^ b.bits)) >= {2 * p}L * (a.n + b.n)"
-    )).select(*(F.col(f"{x}.{k}").alias(f"{k}_{x}") for x in "ab" for k in key)).distinct()
-    pairs = _run.materialise(pairs, "pairs")
-    word = F.expr(f"pmod(h, {MARKS})")
-    ids = pairs.select(F.explode(F.array("ident_a", "ident_b")).alias("h"))
-    # unsigned remainder by a power of two: its low bits
-    ids = ids.select(F.col("h").bitwiseAND(F.lit(MARKS - 1)).alias("h")).select((word / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("m"))
-    found = ids.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bitmap = np.zeros(MARKS // 64, U)
-    bitmap[found["w"].to_numpy()] = found["m"].to_numpy().view(U)
-    marks = spark.sparkContext.broadcast(bitmap)
-    whole = base.select("doc", "th", "text").mapInArrow(_wanted(rank, marks), "ident long, bits long, n int, doc long, th long, line int, tokens array<long>")
-    whole = _run.materialise(whole.groupBy(key).agg(F.min(F.struct("doc", "th", "line")).alias("first"), F.first("tokens", ignorenulls=True).alias("tokens")), "whole")
-    side = lambda x: whole.select(*(F.col(k).alias(f"{k}_{x}") for k in key), F.col("first").alias(f"first_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    same = pairs.join(side("a"), [f"{k}_a" for k in key]).join(side("b"), [f"{k}_b" for k in key])
-    same = same.where(F.expr(f"{100 + p}L * size(array_intersect(tokens_a, tokens_b)) >= {p}L * (n_a + n_b)"))
-    later = F.col("first_a") > F.col("first_b")
-    bad = same.select(*(F.when(later, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(k) for k in key)).distinct().withColumn("bad", F.lit(True))
-    drop = sets.select(*key, F.struct("first.doc", "first.th", "first.line").alias("first"), "c").join(bad, key, "left").where("bad OR c > 1")
-    gone = lines.select(*key, F.struct("doc", "th", "line").alias("at")).join(drop, key).where("bad OR at != first")
-    gone = _run.materialise(gone.select("at.*").groupBy("doc", "th").agg(F.collect_set("line").alias("gone")), "gone")
-    out = base.join(gone, ["doc", "th"], "left")
-    schema = out.schema
-    out = out.mapInArrow(_without, schema)
-    out = out.select(
-        F.when(F.col("rest.no_id"), F.lit(None)).otherwise(F.col("doc")).cast(id_type).alias("doc_id"), "text",
-        F.greatest(F.lit(0), F.size("gone")).cast("long").alias("n_removed"), F.col("rest.own").alias("rest"),
+    out = base.join(_gone(base, percent), ["doc", "th"], "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
+    return out.select(
+        F.when(~F.col("no_id"), F.col("doc")).cast(id_type).alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"), "rest",
     )
-    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
