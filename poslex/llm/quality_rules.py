@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from . import _vec
 from ._vec import U
 
-STATISTICS = ("symbols", "upper", "digits", "word_length", "punctuated", "single", "same_as_last", "top_token", "repeated_runs", "shouted")
+STATISTICS = ("symbols", "upper", "word_length", "punctuated", "single", "same_as_last", "top_token", "repeated_runs", "shouted")
 _RUN = 4
+#: Shares of a text's tokens are taken as if it had so many more, so that a short text isn't extreme by a word or two.
+_FEW = 10
 
 
 def _table(chars: str) -> np.ndarray:
@@ -35,7 +37,6 @@ def _table(chars: str) -> np.ndarray:
 
 _SYMBOL = _table("#$%&*<>{}[]|\\^~=+_@!")
 _UPPER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_DIGIT = _table("0123456789")
 _ALPHA = _table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | (np.arange(256) >= 128)
 _MARK = _table(".,;:!?\"')")
 _INNER = (np.arange(256) & 0xC0) == 0x80
@@ -62,7 +63,7 @@ def _chunk(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
     each = lambda mask: np.bincount(row[mask], minlength=rows)
     h = _vec.span_hash(raw, start, end)
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+    with np.errstate(over="ignore"):
         alpha, upper, length = total(_ALPHA[raw]), total(_UPPER[raw]), np.bincount(row, weights=end - start, minlength=rows)
         chars = length - total(_INNER[raw])
         # runs of _RUN tokens and single tokens that occurred before in the same text
@@ -77,11 +78,12 @@ def _chunk(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         np.maximum.at(top, who, size)
         last = raw[end - 1] if len(end) else np.zeros(0, np.uint8)
         stats = [
-            total(_SYMBOL[raw]) / chars, upper / alpha, total(_DIGIT[raw]) / chars, chars / n, each(_MARK[last]) / n, each((end - start == 1) & ~_ALPHA[last]) / n,
-            each(np.r_[False, (h[1:] == h[:-1]) & (row[1:] == row[:-1])] if len(h) else np.zeros(0, np.bool_)) / n, top / n,
-            repeated / np.maximum(1, np.bincount(each_row, minlength=rows)), each(_SYMBOL[last] & (end - start > 1)) / n,
+            total(_SYMBOL[raw]) / (chars + 5 * _FEW), upper / (alpha + 5 * _FEW), (chars + 5 * _FEW) / (n + _FEW),
+            each(_MARK[last]) / (n + _FEW), each((end - start == 1) & ~_ALPHA[last]) / (n + _FEW),
+            each(np.r_[False, (h[1:] == h[:-1]) & (row[1:] == row[:-1])] if len(h) else np.zeros(0, np.bool_)) / (n + _FEW), (top - 1) / (n + _FEW),
+            repeated / (np.bincount(each_row, minlength=rows) + _FEW), each(_SYMBOL[last] & (end - start > 1)) / (n + _FEW),
         ]
-    out = np.nan_to_num(np.stack(stats, 1), nan=0.0, posinf=0.0)
+    out = np.stack(stats, 1)
     out[n == 0] = np.nan
     return out.astype(np.float32)
 
@@ -153,7 +155,7 @@ def grow(x: np.ndarray, trees: int, size: int, seed: int) -> Forest:
     return Forest(feature, split, path, float(max(_expected(size), 1e-9)), np.inf)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 200, size: int = 256, good_loss: float = 0.005, seed: int = 7) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 200, size: int = 64, good_loss: float = 0.005, seed: int = 7) -> Forest:
     """A calibrated forest from at most ``sample`` labelled rows, taken in the order of a hash of doc_id."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).dropna().groupBy("id").agg(F.min("q").alias("q"))
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))

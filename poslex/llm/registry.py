@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, syncmers
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
+    "op2_mixing": mixing,
+    "op4_quality_rules": quality_rules,
+    "op5_language_id": language_id,
+    "op6_packing": packing,
+    "op7_syncmers": syncmers,
+    "op8_minhash_dedup": minhash_dedup,
 }
 
 
