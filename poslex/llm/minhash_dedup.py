@@ -9,6 +9,10 @@ means that a pair shares at least MORE of the first K - matches + MORE posted, s
 are merged per bucket of coordinate-value pairs; a candidate whose agreements so far and coordinates left can't reach
 the threshold is skipped; all coordinates are counted for the rest. No list, partner count or group size is capped.
 
+Groups are the connected components of the matches. So that a large group doesn't need all pairs of its members, they
+are found in two rounds: first each list's least member with the others (many of a group meet here), then all pairs
+of members that the first round left in different components. Skipped pairs are within one component already.
+
 Edge cases: a document without tokens (null, empty or white space only) has no signature and is never a duplicate.
 Documents are named by doc_id; where rows share a doc_id (or have none) their text's hash tells them apart, and rows
 equal in both are exact copies of each other. Of a group the row with the least (doc_id, hash of text) stays, a null
@@ -95,47 +99,60 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _posts(rank, matches: int, buckets: int):
-    """Blocks of (element, name, place in the prefix) by a bucket of the element."""
+    """Blocks of (element, component, name, place in the prefix) by a bucket of the element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            name = batch.column(0).to_numpy(zero_copy_only=False)
-            e = _elements(_matrix(batch.column(1)))
+            name, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            e = _elements(_matrix(batch.column(2)))
             order = np.argsort((rank.value[(e >> U(44)).astype(np.int64)].astype(U) << U(44)) | (e & U((1 << 44) - 1)), axis=1)[:, : K - matches + MORE]
-            e = np.take_along_axis(e, order, 1).ravel()
-            who, place = np.repeat(name, order.shape[1]), np.tile(np.arange(order.shape[1], dtype=np.uint8), len(name))
+            e, width = np.take_along_axis(e, order, 1).ravel(), order.shape[1]
+            columns = (e, np.repeat(part, width), np.repeat(name, width), np.tile(np.arange(width, dtype=np.uint8), len(name)))
             bucket = (e % U(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            e, who, place, bucket = e[by], who[by], place[by], bucket[by]
+            bucket, columns = bucket[by], [x[by] for x in columns]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = [*at[1:], len(bucket)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for x in (e, who, place))], ["bucket", "e", "name", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for x in columns)], ["bucket", "e", "part", "name", "place"])
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Pairs of names on the lists of this task, with agreements and the later of their places."""
-    parts = [(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()) for b in batches]
-    if not parts:
-        return
-    e, name, place = (np.frombuffer(b"".join(x for p in parts for x in p[i]), kind) for i, kind in enumerate((np.uint64, np.int64, np.uint8)))
-    order = np.lexsort((name, e))
-    e, name, place = e[order], name[order], place[order]
-    # the rest of a list are the partners of each of its entries
-    last = np.searchsorted(e, e, "right")
-    count = last - np.arange(len(e)) - 1
-    ends, at = np.cumsum(count), 0
-    while at < len(e):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
-        size = count[at:to]
-        a = np.repeat(np.arange(at, to), size)
-        b = np.repeat(np.arange(at, to) + 1 - (np.cumsum(size) - size), size) + np.arange(len(a))
-        at = to
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b]), pa.array(np.maximum(place[a], place[b]).astype(np.int32))], ["a", "b", "place"])
+def _merged(stars: bool, block: int = 1 << 20):
+    """Pairs of names on the lists of this task, with the later of their places in the prefixes.
+
+    With ``stars`` those of a list's first entry and another, else all pairs of different components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(b.column(i).to_pylist() for i in range(1, 5)) for b in batches]
+        if not parts:
+            return
+        e, part, name, place = (np.frombuffer(b"".join(x for p in parts for x in p[i]), kind) for i, kind in enumerate((np.uint64, np.int64, np.int64, np.uint8)))
+        order = np.lexsort((name, part, e))
+        e, part, name, place = e[order], part[order], name[order], place[order]
+        new = np.r_[True, e[1:] != e[:-1]]
+        last = np.searchsorted(e, e, "right")
+        if stars:
+            low, last = np.arange(len(e)) + 1, np.where(new, last, 0)
+        else:
+            other = np.flatnonzero(np.r_[new[1:] | (part[1:] != part[:-1]), True]) + 1
+            low = other[np.searchsorted(other, np.arange(len(e)), "right")]
+        count = np.maximum(0, last - low)
+        ends, at = np.cumsum(count), 0
+        while at < len(e):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+            size = count[at:to]
+            a = np.repeat(np.arange(at, to), size)
+            b = np.repeat(low[at:to] - (np.cumsum(size) - size), size) + np.arange(len(a))
+            at = to
+            if len(a):
+                x, y = name[a], name[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.maximum(place[a], place[b]).astype(np.int32))], ["a", "b", "place"])
+
+    return run
 
 
 def _agreeing(matches: int):
@@ -163,25 +180,39 @@ def signature_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc", "th", "one", "two"), groups
 
 
-def matching_pairs(groups: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Pairs of groups (a, b) that agree in at least ``matches`` coordinates, and in how many."""
-    spark = groups.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _rarity(groups: DataFrame):
     counts = groups.select("sig").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(BUCKETS, np.int64)
     total[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     order = np.empty(BUCKETS, np.uint32)
     order[np.argsort(total, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
-    rank = spark.sparkContext.broadcast(order)
-    posts = groups.select("group", "sig").mapInArrow(_posts(rank, matches, buckets), "bucket int, e binary, name binary, place binary").repartition("bucket")
-    found = posts.mapInArrow(_merged, "a long, b long, place int").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("place").alias("place"))
-    # agreements in the prefix, and all coordinates after the later of the last places
-    found = found.where(f"n + {K - 1} - place >= {matches}").select("a", "b")
+    return groups.sparkSession.sparkContext.broadcast(order)
+
+
+def matching_pairs(groups: DataFrame, rank, matches: int = MATCHES, stars: bool = False) -> DataFrame:
+    """Pairs (a, b) of groups in different parts that agree in at least ``matches`` coordinates, and in how many.
+
+    With ``stars`` only some pairs, a number in proportion to the groups.
+    """
+    buckets = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posts = groups.select("group", "part", "sig").mapInArrow(_posts(rank, matches, buckets), "bucket int, e binary, part binary, name binary, place binary").repartition("bucket")
+    found = posts.mapInArrow(_merged(stars), "a long, b long, place int").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("place").alias("place"))
+    # agreements in the prefix, and all coordinates after the later of the last places; stars only see some agreements
+    found = found.where(f"n >= {MORE}" if stars else f"n + {K - 1} - place >= {matches}").select("a", "b")
     side = lambda x: groups.select(F.col("group").alias(x), F.col("sig").alias(f"sig_{x}"))
     both = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
     return _run.materialise(both.mapInArrow(_agreeing(matches), "a long, b long, matches int"), "pairs")
 
 
+def linked(groups: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """name, least: the component of each group that matches another."""
+    rank = _rarity(groups)
+    some = matching_pairs(groups.withColumn("part", F.lit(0).cast("long")), rank, matches, stars=True)
+    parts = components(some).select(F.col("name").alias("group"), "least")
+    parted = _run.materialise(groups.join(parts, "group", "left").select("group", F.coalesce("least", "group").alias("part"), "sig"), "parted")
+    return components(some.select("a", "b").union(matching_pairs(parted, rank, matches).select("a", "b")))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """name, least: the least name in the connected component of each name in pairs (a, b).
 
@@ -209,10 +240,9 @@ def duplicates(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     Of rows equal in doc_id and text all share a name; such a name is given with copies > 1.
     """
     rows, groups = signature_groups(docs)
-    linked = components(matching_pairs(groups, matches))
     first = F.struct("doc", "th").alias("first")
     # name the component by its least row, not by its least group
-    member = groups.select("one", "two", "group", first).join(linked, F.col("group") == F.col("name"), "left").select("one", "two", F.coalesce("least", "group").alias("least"), "first")
+    member = groups.select("one", "two", "group", first).join(linked(groups, matches), F.col("group") == F.col("name"), "left").select("one", "two", F.coalesce("least", "group").alias("least"), "first")
     keep = member.groupBy("least").agg(F.min("first").alias("keep"))
     member = member.join(keep, "least").select("one", "two", "keep")
     found = rows.groupBy("one", "two", "doc", "th").agg(F.count("*").alias("copies")).join(member, ["one", "two"])
