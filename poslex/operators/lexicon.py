@@ -33,6 +33,11 @@ def id_of(lex: DataFrame, value: str) -> DataFrame:
     return lex.where(F.col("value") == value).select("id", "value")
 
 
+def ids_of(lex: DataFrame, values: DataFrame) -> DataFrame:
+    """value, id for each value asked for, with a null id for those that the lexicon lacks."""
+    return values.select("value").distinct().join(lex.select("value", "id"), "value", "left")
+
+
 def value_of(lex: DataFrame, number: int) -> DataFrame:
     """id to string."""
     return lex.where(F.col("id") == number).select("id", "value")
@@ -72,6 +77,11 @@ def positions_of(index: DataFrame, number: int) -> DataFrame:
     return index.where(F.col("id") == number).select("pos")
 
 
+def positions_of_word(index: DataFrame, lex: DataFrame, value: str) -> DataFrame:
+    """pos: where a value stands; the id is looked up and joined, one row at most."""
+    return index.join(F.broadcast(id_of(lex, value).select("id")), "id", "left_semi").select("pos")
+
+
 def gaps(index: DataFrame) -> DataFrame:
     """id, pos and gap: its distance from the position before on the list, the first from -1."""
     before = F.lag("pos", 1, -1).over(W.partitionBy("id").orderBy("pos"))

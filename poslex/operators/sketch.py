@@ -35,6 +35,11 @@ class Sketch:
         found = self.collocates().where(F.col("coll") == value)
         return found.groupBy("coll").agg(F.min("coll_id").alias("coll_id"))
 
+    def collocate_ids(self, values: DataFrame) -> DataFrame:
+        """coll, coll_id for each value of (coll); the main lexicon comes first, null if neither has it."""
+        found = values.select("coll").distinct().join(self.collocates(), "coll", "left")
+        return found.groupBy("coll").agg(F.min("coll_id").alias("coll_id"))
+
     def named(self, entries: DataFrame | None = None) -> DataFrame:
         """The entries with the words of head, relation and collocate."""
         rows = self.entries if entries is None else entries
@@ -53,6 +58,10 @@ class Sketch:
         """head_id, rel_id, coll_id, pos, coll_off."""
         return self.occurrences if head_id is None else self.occurrences.where(F.col("head_id") == head_id)
 
+    def position_counts(self) -> DataFrame:
+        """head_id, rel_id, coll_id, n: how many occurrences each entry has."""
+        return self.occurrences.groupBy("head_id", "rel_id", "coll_id").agg(F.count("*").alias("n"))
+
     def matches_text(self) -> DataFrame:
         """head_id, rel_id, coll_id, lcm_text: the words of the longest commonest match; its last id isn't shown."""
         shown = F.expr("slice(lcm, 1, greatest(size(lcm) - 1, 0))")

@@ -4,7 +4,8 @@ Ranges are half-open; numbers follow the order of the ranges' ends. The default
 structure can be found, and of ranges that hold a position the shortest wins. ``compat`` gives the closed forms of
 the classic search instead, in which the last structure is never found and an empty one right after a position is.
 
-Positions and ranges meet in buckets of positions, an equi-join; nothing is compared with all of the other side.
+Positions and keys meet in buckets of positions, where a window runs over both in order; what a bucket lacks comes
+from a table of one row for each bucket. Nothing is compared with all of the other side.
 """
 
 from __future__ import annotations
@@ -13,32 +14,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 16
+from ._numbering import running_sum
 
+BUCKET = 1 << 16
 
-def containing(positions: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """pos, num: the shortest range that holds each position (the later of equally long ones), null if none does."""
-    cut = ranges.where("beg < end").select("num", "beg", "end", F.explode(F.expr(f"sequence(beg DIV {bucket}, (end - 1) DIV {bucket})")).alias("b"))
-    asked = positions.select("pos").distinct().withColumn("b", F.expr(f"pos DIV {bucket}"))
-    both = asked.join(cut, (asked.b == cut.b) & (F.col("pos") >= F.col("beg")) & (F.col("pos") < F.col("end")), "left").select(asked.b, "pos", "num", (F.col("end") - F.col("beg")).alias("n"))
-    return both.groupBy("b", "pos").agg(F.min(F.when(F.col("num").isNotNull(), F.struct("n", (-F.col("num")).alias("m")))).alias("x")).select("pos", (-F.col("x.m")).alias("num"))
 
+def _nearest(positions: DataFrame, keys: DataFrame, bucket: int, ahead: bool = True) -> DataFrame:
+    """pos and the row of keys (key, ...) with the least key at or after it, or, without ``ahead``, the greatest at or before it.
 
-def _next(positions: DataFrame, keys: DataFrame, bucket: int) -> DataFrame:
-    """pos and the row of keys (key, ...) with the least key at or after it; keys are distinct, columns null if there is none."""
+    Keys are distinct; columns are null where there is none.
+    """
     names = [c for c in keys.columns if c != "key"]
     row = F.struct("key", *names)
     asked = positions.select("pos").distinct()
     events = asked.select(F.col("pos").alias("at"), F.col("pos"), F.lit(None).cast(keys.select(row.alias("r")).schema["r"].dataType).alias("r"), F.lit(1).alias("kind"))
     events = events.unionByName(keys.select(F.col("key").alias("at"), F.lit(None).cast("long").alias("pos"), row.alias("r"), F.lit(0).alias("kind")))
     events = events.withColumn("b", F.expr(f"at DIV {bucket}"))
-    # from the highest position down, so that the frame only looks back
-    inside = W.partitionBy("b").orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, 0)
+    turned = F.desc if ahead else F.asc
+    # in this direction the frame only looks back
+    inside = W.partitionBy("b").orderBy(turned("at"), "kind").rowsBetween(W.unboundedPreceding, 0)
     found = events.withColumn("own", F.last("r", ignorenulls=True).over(inside)).where("kind = 1").select("pos", "b", "own")
-    # the first key of each bucket, and of the next one that has any: a row for each bucket
-    firsts = events.groupBy("b").agg(F.min("r").alias("first"))
-    later = firsts.withColumn("later", F.last("first", ignorenulls=True).over(W.orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1))).select("b", "later")
-    return found.join(later, "b").select("pos", F.coalesce("own", "later").alias("r")).select("pos", F.col("r.key").alias("key"), *(F.col(f"r.{c}").alias(c) for c in names))
+    # of each bucket that has any the key that others see first: a row for each bucket
+    edge = events.groupBy("b").agg((F.min if ahead else F.max)("r").alias("edge"))
+    beyond = edge.withColumn("beyond", F.last("edge", ignorenulls=True).over(W.orderBy(turned("b")).rowsBetween(W.unboundedPreceding, -1))).select("b", "beyond")
+    return found.join(beyond, "b").select("pos", F.coalesce("own", "beyond").alias("r")).select("pos", F.col("r.key").alias("key"), *(F.col(f"r.{c}").alias(c) for c in names))
+
+
+def disjoint(ranges: DataFrame) -> bool:
+    """Whether no position is in two of the ranges."""
+    own = ranges.where("beg < end")
+    events = own.select(F.col("beg").alias("at"), F.lit(1).alias("step"), "num").union(own.select(F.col("end").alias("at"), F.lit(-1).alias("step"), "num"))
+    # at one position ends come before starts
+    return running_sum(events, ["at", "step", "num"], F.col("step"), "open").where("open > 0 AND step > 0").isEmpty()
+
+
+def containing(positions: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """pos, num: the shortest range that holds each position (the later of equally long ones), null if none does."""
+    own = ranges.where("beg < end").select("num", "beg", "end")
+    if disjoint(own):
+        found = _nearest(positions, own.select(F.col("beg").alias("key"), "num", "end"), bucket, ahead=False)
+        return found.select("pos", F.when(F.col("pos") < F.col("end"), F.col("num")).alias("num"))
+    # ranges of up to 2 ** level positions touch two blocks of that size at most, so few of a level are in a block
+    own = own.withColumn("level", F.length(F.bin(F.col("end") - F.col("beg") - 1)))
+    own = own.select("num", "beg", "end", "level", F.explode(F.array_distinct(F.array(F.expr("shiftright(beg, level)"), F.expr("shiftright(end - 1, level)")))).alias("b"))
+    # 63 levels at most
+    levels = own.select("level").distinct()
+    asked = positions.select("pos").distinct().crossJoin(F.broadcast(levels)).withColumn("b", F.expr("shiftright(pos, level)"))
+    held = asked.join(own, ["level", "b"]).where("pos >= beg AND pos < end")
+    best = held.groupBy("pos").agg(F.min(F.struct((F.col("end") - F.col("beg")).alias("n"), (-F.col("num")).alias("m"))).alias("x")).select("pos", (-F.col("x.m")).alias("num"))
+    return positions.select("pos").distinct().join(best, "pos", "left")
 
 
 def _searched(ranges: DataFrame, compat: bool) -> DataFrame:
@@ -50,13 +74,13 @@ def _searched(ranges: DataFrame, compat: bool) -> DataFrame:
 
 def next_start(positions: DataFrame, ranges: DataFrame, compat: bool = False, bucket: int = BUCKET) -> DataFrame:
     """pos, beg: the least start at or after each position."""
-    return _next(positions, _searched(ranges, compat).select(F.col("beg").alias("key")).distinct(), bucket).select("pos", F.col("key").alias("beg"))
+    return _nearest(positions, _searched(ranges, compat).select(F.col("beg").alias("key")).distinct(), bucket).select("pos", F.col("key").alias("beg"))
 
 
 def by_end(positions: DataFrame, ranges: DataFrame, compat: bool = False, bucket: int = BUCKET) -> DataFrame:
     """pos, num, beg: of the ranges that end at the position the last, else the first that ends after it."""
     ends = _searched(ranges, compat).groupBy(F.col("end").alias("key")).agg(F.min(F.struct("num", "beg")).alias("low"), F.max(F.struct("num", "beg")).alias("high"))
-    found = _next(positions, ends, bucket)
+    found = _nearest(positions, ends, bucket)
     one = F.when(F.col("key") == F.col("pos"), F.col("high")).otherwise(F.col("low"))
     return found.select("pos", one.alias("r")).select("pos", F.col("r.num").alias("num"), F.col("r.beg").alias("beg"))
 
@@ -69,11 +93,17 @@ def number_at(positions: DataFrame, ranges: DataFrame, compat: bool = False, buc
     found = by_end(after, ranges, True, bucket).select((F.col("pos") - 1).alias("pos"), F.col("num").alias("i"), F.col("beg").alias("b"))
     end = ranges.select(F.col("num").alias("i"), F.col("end").alias("e"))
     before = ranges.select(F.col("num").alias("j"), F.col("beg").alias("b_before"))
-    found = found.withColumn("j", F.greatest(F.lit(0), F.col("i") - 1)).join(end, "i", "left").join(before, "j", "left")
+    found = found.withColumn("j", F.when(F.col("i") > 0, F.col("i") - 1)).join(end, "i", "left").join(before, "j", "left")
     number: Column = F.when(F.col("b") <= F.col("pos"), F.col("i")).when((F.col("b") == F.col("e")) & (F.col("b") == F.col("pos") + 1), F.col("i"))
     return found.select("pos", number.when(F.col("b_before") == F.col("pos"), F.col("j")).alias("num"))
 
 
+def next_start_sum(positions: DataFrame, ranges: DataFrame, compat: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """total: the sum of the next starts over every second position; positions without one add nothing."""
+    even = positions.where("pos % 2 = 0")
+    return next_start(even, ranges, compat, bucket).agg(F.coalesce(F.sum("beg"), F.lit(0)).cast("long").alias("total"))
+
+
 def lengths(ranges: DataFrame) -> DataFrame:
     """num, beg, end, length."""
     return ranges.select("num", "beg", "end", (F.col("end") - F.col("beg")).alias("length"))

@@ -2,10 +2,493 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import adjusted_scale, collocate_offset, score
+from ..operators import lexicon as lx
+from ..operators import structures as st
+from ..operators._numbering import written
+from ..operators.sketch import Sketch, neighbours
+from ..sources import config, tables, vertical
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+WORD = "the"
+
+# ---- the collections in SQL -------------------------------------------------------------------------------------
+_WS = "list_filter(string_split_regex({}, '[ \\t\\n\\r]+'), lambda x: x <> '')"
+_RUN = "coalesce(sum({}) OVER (ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+_LEX = "SELECT (row_number() OVER (ORDER BY min(pos)) - 1)::BIGINT AS id, value, min(pos) AS first_pos, count(*) AS frq FROM {} GROUP BY value"
+
+_CTE = {
+    "w": f"SELECT doc_id, lang, source, {_WS.format('text')} AS ws FROM documents",
+    "docs": f"""SELECT *, beg + len(ws) AS "end" FROM (SELECT *, {_RUN.format('len(ws)', 'doc_id')} AS beg, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS num FROM w)""",
+    "tok": "SELECT beg + generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS value FROM docs",
+    "lex": _LEX.format("tok"),
+    "ids": "SELECT pos, id, value FROM tok JOIN lex USING (value)",
+    "lc": "SELECT lower(value) AS value, min(id) AS pos FROM lex GROUP BY lower(value)",
+    "dlex": "SELECT (row_number() OVER (ORDER BY pos) - 1)::BIGINT AS dyn_id, value FROM lc",
+    "dmap": "SELECT id AS src_id, dyn_id, frq FROM lex JOIN dlex ON dlex.value = lower(lex.value)",
+    "tw": f"SELECT conv_id, turn, role, {_WS.format('text')} AS ws FROM conversations",
+    "turns": f"""SELECT *, beg + len(ws) AS "end" FROM (SELECT *, {_RUN.format('len(ws)', 'conv_id, turn')} AS beg, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS num FROM tw)""",
+    "convs": """SELECT conv_id, min(beg) AS beg, max("end") AS "end", (row_number() OVER (ORDER BY conv_id) - 1)::BIGINT AS num FROM turns GROUP BY conv_id""",
+    "ttok": "SELECT num AS turn_num, conv_id, beg + generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS value FROM turns",
+    "tlex": _LEX.format("ttok"),
+    "tids": "SELECT pos, id FROM ttok JOIN tlex USING (value)",
+    "pairs": """SELECT a.pos, a.id AS x, b.id AS y FROM tids a JOIN tids b ON b.pos = a.pos + 1 WHERE a.pos + 1 NOT IN (SELECT "end" FROM turns)""",
+    "occ": "SELECT x AS head_id, 0::BIGINT AS rel_id, y AS coll_id, pos, 1::INTEGER AS coll_off FROM pairs UNION ALL SELECT y, 1, x, pos + 1, -1 FROM pairs",
+    "ent": "SELECT head_id, rel_id, coll_id, coll_id AS ord, cnt, round(14 + log2(2.0::DOUBLE * cnt / (h.frq + c.frq)), 4) AS rnk FROM (SELECT head_id, rel_id, coll_id, count(*) AS cnt FROM occ GROUP BY ALL) JOIN tlex h ON h.id = head_id JOIN tlex c ON c.id = coll_id",
+    "rel": "SELECT * FROM (VALUES (0::BIGINT, 'next'), (1, 'previous')) AS r(rel_id, rel)",
+    "otok": f"SELECT (row_number() OVER (ORDER BY {', '.join(tables.LINE_ORDER)}) - 1)::BIGINT AS pos, * FROM lineitem",
+    "ords": """SELECT l_orderkey, min(pos) AS beg, max(pos) + 1 AS "end", (row_number() OVER (ORDER BY l_orderkey) - 1)::BIGINT AS num FROM otok GROUP BY l_orderkey""",
+    "less": "SELECT * FROM ords WHERE num < (SELECT max(num) FROM ords)",
+    "clk": "SELECT (row_number() OVER (ORDER BY user_id, ts, event_id) - 1)::BIGINT AS pos, event_type AS value, user_id FROM events",
+    # vertical text: token lines that would be comments are none
+    "dl": "SELECT doc_id, lang, source, generate_subscripts(ls, 1) AS ln, unnest(ls) AS l FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents)",
+    "dlw": f"SELECT doc_id, ln, list_filter({_WS.format('l')}, lambda x: NOT starts_with(x, '#')) AS ws, len({_WS.format('l')}) AS n FROM dl",
+    "dls": f"SELECT *, {_RUN.format('len(ws)', 'doc_id, ln')} AS beg FROM dlw",
+    "vtok": "SELECT beg + generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM dls",
+    "vdoc": f"""SELECT *, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS num FROM (SELECT doc_id, lang, source, min(beg) AS beg, max(beg + len(ws)) AS "end" FROM dls JOIN documents USING (doc_id) GROUP BY doc_id, lang, source)""",
+    # lines of the vertical text of conversations
+    "tl": """SELECT conv_id, turn, 0 AS k, 0 AS i, '<conv>' AS word, 'conv' AS name, 'start' AS kind FROM (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id)
+      UNION ALL SELECT conv_id, turn, 1, 0, NULL, 'turn', 'start' FROM conversations
+      UNION ALL SELECT conv_id, turn, 2, generate_subscripts(ws, 1), unnest(ws), NULL, NULL FROM tw
+      UNION ALL SELECT conv_id, turn, 3, 0, NULL, 'turn', 'end' FROM conversations
+      UNION ALL SELECT conv_id, max(turn), 4, 0, '</conv>', 'conv', 'end' FROM conversations GROUP BY conv_id""",
+}
+_NEEDS = {
+    "docs": "w", "tok": "docs", "lex": "tok", "ids": "tok lex", "lc": "lex", "dlex": "lc", "dmap": "lex dlex", "turns": "tw", "convs": "turns", "ttok": "turns", "tlex": "ttok", "tids": "ttok tlex",
+    "pairs": "tids turns", "occ": "pairs", "ent": "occ tlex", "ords": "otok", "less": "ords", "dlw": "dl", "dls": "dlw", "vtok": "dls", "vdoc": "dls", "tl": "tw",
+}
+
+
+def _sql(names: str, select: str) -> str:
+    """A query over some of the relations above."""
+    need: list[str] = []
+
+    def add(name: str) -> None:
+        for x in _NEEDS.get(name, "").split():
+            add(x)
+        if name not in need:
+            need.append(name)
+
+    for n in names.split():
+        add(n)
+    head = "WITH " + ",\n".join(f"{n} AS ({_CTE[n]})" for n in need) + "\n" if need else ""
+    return head + select
+
+
+def _query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- lexicons and columns ---------------------------------------------------------------------------------------
+@_query(_sql("lex", "SELECT value, frq, first_pos FROM lex"))
+def attr_frq(spark, d):
+    return lx.frequencies(tables.doc_tokens(spark, d))
+
+
+@_query(_sql("lex", "SELECT id, value, first_pos, frq FROM lex"))
+def lex_build(spark, d):
+    return lx.lexicon(tables.doc_tokens(spark, d))
+
+
+@_query(_sql("lex", "SELECT id, value, (row_number() OVER (ORDER BY value) - 1)::BIGINT AS sort_rank FROM lex"))
+def lex_sorted_rank(spark, d):
+    return lx.ranked(lx.lexicon(tables.doc_tokens(spark, d))).select("id", "value", "sort_rank")
+
+
+def _docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Id column (pos, id, value) and lexicon of the documents' words."""
+    tokens = tables.doc_tokens(spark, d)
+    lex = written(lx.lexicon(tokens), "lexicon")
+    return lx.encoded(tokens, lex), lex
+
+
+@_query(_sql("ids", "SELECT pos, id, value FROM ids"))
+def lex_id2str(spark, d):
+    ids, lex = _docs(spark, d)
+    return lx.decoded(ids.select("pos", "id"), lex).select("pos", "id", "value")
+
+
+@_query(_sql("lex", f"SELECT value AS asked, id FROM lex WHERE value = '{WORD}'"))
+def lex_str2id(spark, d):
+    return lx.id_of(lx.lexicon(tables.doc_tokens(spark, d)), WORD).select(F.col("value").alias("asked"), "id")
+
+
+@_query("SELECT * FROM (VALUES ('', NULL::BIGINT), ('no such word', NULL), (chr(1114111), NULL)) AS t(asked, id)")
+def lex_str2id_missing(spark, d):
+    asked = spark.createDataFrame([("",), ("no such word",), ("\U0010ffff",)], "value string")
+    return lx.ids_of(lx.lexicon(tables.doc_tokens(spark, d)), asked).select(F.col("value").alias("asked"), "id")
+
+
+@_query(_sql("tok", "SELECT count(DISTINCT value) AS size FROM tok"))
+def lex_id_range(spark, d):
+    return lx.size(lx.frequencies(tables.doc_tokens(spark, d)))
+
+
+@_query(_sql("ids docs", "SELECT pos, id, value FROM ids WHERE pos IN (SELECT beg FROM docs)"))
+def text_point_get(spark, d):
+    ids, _ = _docs(spark, d)
+    return lx.at(ids, tables.doc_ranges(spark, d).select(F.col("beg").alias("pos")))
+
+
+@_query(_sql("ids", "SELECT pos, id, value FROM ids WHERE pos >= 1000"))
+def text_range_scan(spark, d):
+    return lx.from_position(_docs(spark, d)[0], 1000)
+
+
+@_query(_sql("ids", "SELECT pos, id FROM ids WHERE pos >= 1000 AND pos < 2000"))
+def text_slice(spark, d):
+    return lx.from_position(_docs(spark, d)[0], 1000, 2000).select("pos", "id")
+
+
+@_query(_sql("tok", "SELECT count(*) AS size FROM tok"))
+def text_size(spark, d):
+    return lx.size(tables.doc_tokens(spark, d))
+
+
+@_query()
+def text_fingerprint(spark, d):
+    return lx.fingerprint(_docs(spark, d)[0])
+
+
+@_query(_sql("ids", "SELECT id, pos FROM ids"))
+def rev_postings(spark, d):
+    return lx.postings(_docs(spark, d)[0])
+
+
+@_query(_sql("tok", f"SELECT pos FROM tok WHERE value = '{WORD}'"))
+def rev_id2poss(spark, d):
+    ids, lex = _docs(spark, d)
+    return lx.positions_of_word(lx.postings(ids), lex, WORD)
+
+
+@_query(_sql("ids", "SELECT id, pos, pos - lag(pos, 1, -1) OVER (PARTITION BY id ORDER BY pos) AS gap FROM ids"))
+def rev_gaps(spark, d):
+    return lx.gaps(lx.postings(_docs(spark, d)[0]))
+
+
+@_query(_sql("docs", "SELECT dense_rank() OVER (ORDER BY f) - 1 AS id, num AS pos FROM (SELECT num, min(num) OVER (PARTITION BY source) AS f FROM docs)"))
+def rev_struct_attr(spark, d):
+    column = tables.doc_ranges(spark, d).select(F.col("num").alias("pos"), F.col("source").alias("value"))
+    return lx.postings(lx.encoded(column, lx.lexicon(column)))
+
+
+@_query(_sql("dmap dlex", "SELECT src_id, dyn_id, value FROM dmap JOIN dlex USING (dyn_id)"))
+def dyn_map(spark, d):
+    own, pairs = lx.derived(lx.lexicon(tables.doc_tokens(spark, d)), F.lower("value"))
+    return pairs.join(own, F.col("dyn_id") == F.col("id")).select("src_id", "dyn_id", "value")
+
+
+@_query(_sql("ids dmap", "SELECT pos, dyn_id FROM ids JOIN dmap ON src_id = id"))
+def dyn_get(spark, d):
+    ids, lex = _docs(spark, d)
+    return lx.derived_ids(ids, lx.derived(lex, F.lower("value"))[1])
+
+
+@_query(_sql("dmap", "SELECT dyn_id, sum(frq)::BIGINT AS frq FROM dmap GROUP BY dyn_id"))
+def dyn_frq(spark, d):
+    lex = written(lx.lexicon(tables.doc_tokens(spark, d)), "lexicon")
+    return lx.derived_frequencies(lex, lx.derived(lex, F.lower("value"))[1])
+
+
+@_query(_sql("docs lex", "SELECT id, frq FROM (SELECT value, count(DISTINCT doc_id) AS frq FROM (SELECT doc_id, unnest(ws) AS value FROM docs) GROUP BY value) JOIN (SELECT id, value FROM lex) USING (value)"))
+def freq_external(spark, d):
+    _, lex = _docs(spark, d)
+    rows = tables.table(spark, d, "documents").select(F.explode(F.array_distinct(tables.words(F.col("text")))).alias("value"))
+    external = rows.groupBy("value").agg(F.count("*").alias("freq")).join(lex.select("id", "value"), "value").select(F.lit("docf:l").alias("kind"), "id", "freq")
+    return lx.frequency(lex, "docf:l", external)
+
+
+@_query(_sql("otok", "SELECT pos, (dense_rank() OVER (ORDER BY a) - 1)::BIGINT AS flag_id, (dense_rank() OVER (ORDER BY b) - 1)::BIGINT AS number_id FROM (SELECT pos, min(pos) OVER (PARTITION BY l_returnflag) AS a, min(pos) OVER (PARTITION BY l_linenumber) AS b FROM otok)"))
+def order_attr_ids(spark, d):
+    tokens = tables.order_tokens(spark, d)
+    one, two = (tokens.select("pos", F.col(c).alias("value")) for c in ("l_returnflag", "l_linenumber"))
+    ids = lambda x, name: lx.encoded(x, lx.lexicon(x)).select("pos", F.col("id").alias(name))
+    return ids(one, "flag_id").join(ids(two, "number_id"), "pos")
+
+
+@_query(_sql("clk", "SELECT value, count(*) AS frq, min(pos) AS first_pos FROM clk GROUP BY value"))
+def click_frq(spark, d):
+    return lx.frequencies(tables.clicks(spark, d)[0])
+
+
+# ---- structures -------------------------------------------------------------------------------------------------
+@_query(_sql("ords", """SELECT num, beg, "end", l_orderkey FROM ords"""))
+def struct_ranges_order(spark, d):
+    return tables.order_ranges(tables.order_tokens(spark, d))
+
+
+@_query(_sql("clk", """SELECT (row_number() OVER (ORDER BY user_id) - 1)::BIGINT AS num, min(pos) AS beg, max(pos) + 1 AS "end", user_id FROM clk GROUP BY user_id"""))
+def struct_ranges_user(spark, d):
+    return tables.clicks(spark, d)[1]
+
+
+@_query(_sql("docs", "SELECT num, lang, (dense_rank() OVER (ORDER BY a) - 1)::BIGINT AS lang_id, source, (dense_rank() OVER (ORDER BY b) - 1)::BIGINT AS source_id FROM (SELECT num, lang, source, min(num) OVER (PARTITION BY lang) AS a, min(num) OVER (PARTITION BY source) AS b FROM docs)"))
+def struct_attr_ids(spark, d):
+    ranges = written(tables.doc_ranges(spark, d), "ranges")
+    out = ranges.select("num", "lang", "source")
+    for name in ("lang", "source"):
+        column = ranges.select(F.col("num").alias("pos"), F.col(name).alias("value"))
+        out = out.join(lx.lexicon(column).select(F.col("value").alias(name), F.col("id").alias(f"{name}_id")), name)
+    return out
+
+
+@_query(_sql("docs", """SELECT num, beg, "end", ("end" - beg)::BIGINT AS length FROM docs"""))
+def struct_lengths(spark, d):
+    return st.lengths(tables.doc_ranges(spark, d))
+
+
+@_query("SELECT count(*) AS size FROM documents")
+def struct_count(spark, d):
+    return lx.size(tables.doc_ranges(spark, d))
+
+
+def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tokens = tables.order_tokens(spark, d)
+    return tokens.select("pos"), written(tables.order_ranges(tokens), "ranges")
+
+
+@_query(_sql("otok ords", """SELECT pos, num FROM otok ASOF LEFT JOIN ords ON pos >= beg"""))
+def num_at_pos(spark, d):
+    return st.number_at(*_orders(spark, d))
+
+
+@_query(_sql("otok ords", "SELECT pos, CASE WHEN num < (SELECT max(num) FROM ords) THEN num END AS num FROM otok ASOF LEFT JOIN ords ON pos >= beg"))
+def num_at_pos_compat(spark, d):
+    return st.number_at(*_orders(spark, d), compat=True)
+
+
+@_query(_sql("ttok turns convs", """SELECT pos, CASE WHEN c."end" - c.beg = t."end" - t.beg THEN c.num + (SELECT count(*) FROM turns) ELSE t.num END AS num FROM ttok JOIN turns t ON t.num = turn_num JOIN convs c ON c.conv_id = t.conv_id"""))
+def num_at_pos_nested(spark, d):
+    turns, convs = tables.talk(spark, d)
+    number = F.col("num") + turns.count()
+    both = turns.select("num", "beg", "end").union(convs.select(number.alias("num"), "beg", "end"))
+    return st.number_at(tables.talk_tokens(spark, d), written(both, "nested"))
+
+
+@_query(_sql("otok ords", "SELECT pos, beg FROM otok ASOF LEFT JOIN ords ON pos <= beg"))
+def find_beg(spark, d):
+    return st.next_start(*_orders(spark, d))
+
+
+@_query(_sql("otok less", "SELECT pos, beg FROM otok ASOF LEFT JOIN less ON pos <= beg"))
+def find_beg_compat(spark, d):
+    return st.next_start(*_orders(spark, d), compat=True)
+
+
+@_query(_sql("otok ords", """SELECT pos, num, beg FROM otok ASOF LEFT JOIN ords ON pos <= "end" """))
+def find_end(spark, d):
+    return st.by_end(*_orders(spark, d))
+
+
+@_query(_sql("otok less", """SELECT pos, num, beg FROM otok ASOF LEFT JOIN less ON pos <= "end" """))
+def find_end_compat(spark, d):
+    return st.by_end(*_orders(spark, d), compat=True)
+
+
+@_query(_sql("otok ords", "SELECT sum(beg)::BIGINT AS total FROM (SELECT pos, beg FROM otok ASOF LEFT JOIN ords ON pos <= beg) WHERE pos % 2 = 0"))
+def find_beg_even_sum(spark, d):
+    return st.next_start_sum(*_orders(spark, d))
+
+
+# ---- vertical text ----------------------------------------------------------------------------------------------
+DOC_CONFIG = """
+PATH "."
+ATTRIBUTE word
+ATTRIBUTE lc
+ATTRIBUTE tag
+ATTRIBUTE note { DEFAULTVALUE "-" }
+STRUCTURE doc {
+  ATTRIBUTE lang
+  ATTRIBUTE source
+  ATTRIBUTE year
+}
+STRUCTURE s
+STRUCTURE pb { ATTRIBUTE n }
+"""
+TALK_CONFIG = 'PATH "."\nATTRIBUTE word\nSTRUCTURE conv\nSTRUCTURE turn { ATTRIBUTE role }\n'
+
+
+def _parsed(spark: SparkSession, d: str) -> vertical.Parsed:
+    return vertical.parse(tables.doc_lines(spark, d), config.Config.of(DOC_CONFIG))
+
+
+@_query("SELECT (row_number() OVER (ORDER BY doc_id, i) - 1)::BIGINT AS pos, regexp_replace(l, '\\r$', '') AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+def encode_raw_lines(spark, d):
+    return vertical.raw_tokens(tables.text_lines(spark, d))
+
+
+@_query(_sql("vtok", "SELECT pos, word, lower(word) AS lc FROM vtok"))
+def vertical_tokens(spark, d):
+    return _parsed(spark, d).tokens.select("pos", "word", "lc")
+
+
+@_query(_sql("vtok", "SELECT pos, '===NONE===' AS tag, '-' AS note FROM vtok"))
+def vertical_defaults(spark, d):
+    return _parsed(spark, d).tokens.select("pos", "tag", "note")
+
+
+@_query(_sql("vdoc", """SELECT num, beg::BIGINT AS beg, "end"::BIGINT AS "end", lang, source, '===NONE===' AS year FROM vdoc"""))
+def vertical_docs(spark, d):
+    return _parsed(spark, d).structure("doc")
+
+
+@_query(_sql("dls", """SELECT (row_number() OVER (ORDER BY doc_id, ln) - 1)::BIGINT AS num, beg, (beg + len(ws))::BIGINT AS "end" FROM dls"""))
+def vertical_sentences(spark, d):
+    return _parsed(spark, d).structure("s")
+
+
+@_query(_sql("vdoc", """SELECT (row_number() OVER (ORDER BY beg) - 1)::BIGINT AS num, beg::BIGINT AS beg, beg::BIGINT AS "end", max(doc_id)::VARCHAR AS n FROM vdoc GROUP BY beg"""))
+def empty_structs(spark, d):
+    return _parsed(spark, d).structure("pb")
+
+
+@_query(_sql("turns convs", """SELECT 'turn' AS name, num, beg, "end" FROM turns UNION ALL SELECT 'conv', num, beg, "end" FROM convs"""))
+def nested_structs(spark, d):
+    return vertical.parse(tables.talk_lines(spark, d), config.Config.of(TALK_CONFIG)).ranges()
+
+
+@_query(_sql("tl", "SELECT (row_number() OVER (ORDER BY conv_id, turn, k, i) - 1)::BIGINT AS pos, word FROM tl WHERE word IS NOT NULL AND NOT starts_with(word, '#')"))
+def unknown_tag_as_token(spark, d):
+    declared = config.Config.of('PATH "."\nATTRIBUTE word\nSTRUCTURE turn\n')
+    return vertical.parse(tables.talk_lines(spark, d), declared).tokens.select("pos", "word")
+
+
+@_query(
+    _sql(
+        "tl",
+        f""", e AS (
+  SELECT *, count(*) FILTER (WHERE k = 2 AND NOT starts_with(word, '#')) OVER (ORDER BY conv_id, turn, k, i) AS pos FROM tl
+), s AS (
+  SELECT name, pos FROM e WHERE kind = 'start' UNION ALL SELECT 'conv', max(pos) FROM e
+), n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations)
+SELECT '{vertical.NOT_OPEN}' AS kind, n FROM n
+UNION ALL SELECT '{vertical.MISMATCH}', n FROM n
+UNION ALL SELECT '{vertical.UNTERMINATED}', 1
+UNION ALL SELECT '{vertical.SAME_PLACE}', sum(c - 1)::BIGINT FROM (SELECT count(*) AS c FROM s GROUP BY name, pos) HAVING sum(c - 1) > 0""",
+    )
+)
+def diagnostics_summary(spark, d):
+    return vertical.parse(tables.talk_lines(spark, d, broken=True), config.Config.of(TALK_CONFIG)).summary()
+
+
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_TAGS = f"""
+WITH p AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '[\\r\\n]+', ' ', 'g'), '<[^<>]*>|[^<>]+') AS x FROM pages),
+l AS (SELECT (row_number() OVER (ORDER BY page_id, i))::BIGINT AS line, {_TRIM.format('v')} AS value FROM (SELECT page_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM p)),
+a AS (SELECT *, CASE WHEN starts_with(value, '<') AND ends_with(value, '>') AND length(value) >= 2 THEN {_TRIM.format('substring(value, 2, length(value) - 2)')} END AS inn FROM l WHERE value <> '' AND NOT starts_with(value, '#')),
+b AS (SELECT *, starts_with(inn, '/') AS e, ends_with(inn, '/') AS o FROM a),
+c AS (SELECT *, CASE WHEN e THEN {_TRIM.format('substring(inn, 2)')} WHEN o THEN {_TRIM.format('substring(inn, 1, length(inn) - 1)')} ELSE inn END AS body FROM b),
+d AS (SELECT *, nullif(regexp_extract(body, '^\\S+'), '') AS name FROM c),
+t AS (SELECT line, value, CASE WHEN name IS NULL THEN NULL WHEN e THEN 'end' WHEN o THEN 'empty' ELSE 'start' END AS kind, name, CASE WHEN NOT e THEN {_TRIM.format('substring(body, length(name) + 1)')} END AS rest FROM d)
+"""
+_VALUE = """(?:"[^"]*"|'[^']*'|[^\\s"'][^\\s]*)"""
+
+
+@_query(_TAGS + "SELECT line, value, kind, name, rest FROM t")
+def tag_parse(spark, d):
+    return vertical.tags(vertical.clean(tables.page_lines(spark, d)))
+
+
+@_query(
+    _TAGS
+    + f""", r AS (
+  SELECT line, regexp_extract(rest, '^(?:\\s*[^\\s=]+\\s*=\\s*{_VALUE.replace("'", "''")})*') AS s FROM t WHERE rest IS NOT NULL
+), k AS (
+  SELECT line, unnest(regexp_extract_all(s, '([^\\s=]+)\\s*=\\s*({_VALUE.replace("'", "''")})', 1)) AS key, unnest(regexp_extract_all(s, '([^\\s=]+)\\s*=\\s*({_VALUE.replace("'", "''")})', 2)) AS raw,
+    generate_subscripts(regexp_extract_all(s, '([^\\s=]+)\\s*=\\s*({_VALUE.replace("'", "''")})', 1), 1) AS i FROM r
+)
+SELECT line, key, CASE WHEN raw[1] IN ('"', '''') THEN substring(raw, 2, length(raw) - 2) ELSE raw END AS value
+FROM (SELECT line, key, arg_max(raw, i) AS raw FROM k GROUP BY line, key)"""
+)
+def tag_attrs(spark, d):
+    tagged = vertical.tags(vertical.clean(tables.page_lines(spark, d)))
+    return vertical.attributes(tagged).select("line", F.explode("attrs").alias("key", "value"))
+
+
+@_query()
+def conf_defaults(spark, d):
+    c = config.Config.of(DOC_CONFIG)
+    keys = ("DEFAULTATTR", "WSATTR", "WSBASE", "SEGMENTSIZE")
+    return spark.createDataFrame([(k, str(c.segment_size()) if k == "SEGMENTSIZE" else c.get(k)) for k in keys], "key string, value string")
+
+
+# ---- word sketches ----------------------------------------------------------------------------------------------
+def _sketch(spark: SparkSession, d: str) -> Sketch:
+    tokens = tables.talk_tokens(spark, d)
+    lex = written(lx.lexicon(tokens), "lexicon")
+    ids = written(lx.encoded(tokens, lex), "ids")
+    relations = spark.createDataFrame([(0, "next"), (1, "previous")], "id long, value string")
+    extra = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("value"))
+    sketch = neighbours(ids, tables.talk(spark, d)[0], lex, relations)
+    return Sketch(sketch.entries.withColumn("rnk", F.round("rnk", 4)), sketch.occurrences, lex, relations, extra)
+
+
+_NAMED = "SELECT head_id, rel_id, ord, h.value AS head, rel, c.value AS coll, cnt, rnk FROM ent JOIN rel USING (rel_id) JOIN tlex h ON h.id = head_id JOIN tlex c ON c.id = coll_id"
+
+
+@_query(_sql("ent rel tlex", _NAMED))
+def ws_dump_all(spark, d):
+    return _sketch(spark, d).dump().drop("lcm")
+
+
+@_query(_sql("ent rel tlex", f"{_NAMED} WHERE h.value = '{WORD}'"))
+def ws_head_lookup(spark, d):
+    return _sketch(spark, d).dump(WORD).drop("lcm")
+
+
+@_query(_sql("occ", "SELECT head_id, rel_id, coll_id, pos, coll_off FROM occ"))
+def ws_positions(spark, d):
+    return _sketch(spark, d).positions()
+
+
+@_query(_sql("occ", "SELECT head_id, rel_id, coll_id, count(*) AS n FROM occ GROUP BY ALL"))
+def ws_position_counts(spark, d):
+    return _sketch(spark, d).position_counts()
+
+
+@_query(_sql("ent tlex", "SELECT head_id, rel_id, coll_id, CASE rel_id WHEN 0 THEN h.value || ' ' || c.value ELSE c.value || ' ' || h.value END AS lcm_text FROM ent JOIN tlex h ON h.id = head_id JOIN tlex c ON c.id = coll_id"))
+def ws_lcm_text(spark, d):
+    return _sketch(spark, d).matches_text()
+
+
+@_query(_sql("tlex", "SELECT id AS coll_id, value AS coll FROM tlex UNION ALL SELECT n_nationkey + (SELECT count(*) FROM tlex), n_name FROM nation"))
+def ws_coll_two_lexicons(spark, d):
+    return _sketch(spark, d).collocates()
+
+
+@_query(_sql("tlex", "SELECT n_name AS coll, coalesce(t.id, n_nationkey + (SELECT count(*) FROM tlex)) AS coll_id FROM nation LEFT JOIN tlex t ON t.value = n_name"))
+def ws_coll2id(spark, d):
+    return _sketch(spark, d).collocate_ids(tables.table(spark, d, "nation").select(F.col("n_name").alias("coll")))
+
+
+@_query("SELECT code, CASE WHEN code = 1 THEN NULL WHEN code % 2 = 0 THEN code // 2 ELSE -(code // 2) END::INTEGER AS coll_off, count(*) AS n FROM (SELECT l_quantity::BIGINT AS code FROM lineitem) GROUP BY ALL")
+def ws_offset_decode(spark, d):
+    codes = tables.table(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("code"))
+    return codes.select("code", collocate_offset(F.col("code")).alias("coll_off")).groupBy("code", "coll_off").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT p_partkey, round(p_partkey / (4096 / 30.0::DOUBLE) - 10, 6) AS rnk, round(p_partkey / (4096 / (20.0::DOUBLE + 4)) - 4, 6) AS adjusted FROM part")
+def ws_score_dequant(spark, d):
+    q = F.col("p_partkey")
+    return tables.table(spark, d, "part").select("p_partkey", F.round(score(q), 6).alias("rnk"), F.round(score(q, *adjusted_scale(5, 12, 20.0)), 6).alias("adjusted"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)

@@ -105,15 +105,14 @@ _PAIR = "[^\\s=\"']+=\"[^\"]*\""
 
 
 def attributes(tagged: DataFrame) -> DataFrame:
-    """The rows with attrs, a map of the attributes in rest; only rests that aren't plain go to Python."""
+    """The rows with attrs, a map of the attributes in rest; only rests that aren't plain, or repeat a key, go to Python."""
     key = lambda x: F.substring_index(x, "=", 1)
-    parts = F.transform(F.regexp_extract_all("rest", F.lit(_PAIR), F.lit(0)), lambda x: F.struct(key(x).alias("key"), F.substring(x, F.length(key(x)) + 3, F.length(x) - F.length(key(x)) - 3).alias("value")))
-    # the last of equal keys holds
-    parts = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda y: y["key"] == x["key"]))
-    plain = F.coalesce(F.col("rest").rlike(_PLAIN), F.lit(True))
-    odd = tagged.withColumn("_odd", F.when(~plain, F.col("rest")))
-    read = F.when(plain, F.map_from_entries(F.coalesce(parts, F.array().cast("array<struct<key:string,value:string>>"))))
-    return odd.withColumn("attrs", F.coalesce(read, _attributes("_odd"))).drop("_odd")
+    pair = lambda x: F.struct(key(x).alias("key"), F.substring(x, F.length(key(x)) + 3, F.length(x) - F.length(key(x)) - 3).alias("value"))
+    found = F.regexp_extract_all(F.coalesce("rest", F.lit("")), F.lit(_PAIR), F.lit(0))
+    out = tagged.withColumn("_pairs", F.when(F.coalesce(F.col("rest").rlike(_PLAIN), F.lit(True)), F.transform(found, pair)))
+    out = out.withColumn("_plain", F.coalesce(F.size(F.array_distinct("_pairs.key")) == F.size("_pairs"), F.lit(False)))
+    odd = _attributes(F.when(~F.col("_plain"), F.col("rest")))
+    return out.withColumn("attrs", F.when(F.col("_plain"), F.map_from_entries("_pairs")).otherwise(odd)).drop("_pairs", "_plain")
 
 
 def _replayed(events: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,11 +184,11 @@ def parse(lines: DataFrame, config: Config) -> Parsed:
     position the last stands, if no start of that name follows at the position.
     """
     known = list(config.structures())
-    rows = attributes(tags(clean(lines))).withColumn("tag", F.coalesce(F.col("kind").isNotNull() & F.col("name").isin(known), F.lit(False)) if known else F.lit(False))
+    rows = tags(clean(lines)).withColumn("tag", F.coalesce(F.col("kind").isNotNull() & F.col("name").isin(known), F.lit(False)) if known else F.lit(False))
     rows = written(running_sum(rows, ["line"], F.when(~F.col("tag"), 1).otherwise(0), "pos"), "rows")
     fields = F.split("value", "\t", -1)
     tokens = rows.where(~F.col("tag")).select("pos", "line", *(F.coalesce(F.get(fields, F.lit(i)), F.lit(d)).alias(a) for i, (a, d) in enumerate(config.positional())))
-    marks = rows.where("tag").select("line", "kind", "name", "pos", "attrs")
+    marks = written(attributes(rows.where("tag").select("line", "kind", "name", "pos", "rest")).drop("rest"), "marks")
     ends = matched(marks.where("kind != 'empty'").select("line", "kind", "name"))
     ends = written(ends, "ends")
     starts = marks.where("kind = 'start'").select(F.col("line").alias("start_line"), F.col("pos").alias("beg"), "attrs")
