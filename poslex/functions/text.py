@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters with the Unicode property White_Space.
-_WHITE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -16,7 +16,7 @@ def words(text: Column) -> Column:
 
 def trimmed(line: Column) -> Column:
     """The line without white space at either end (Unicode White_Space, line ends included)."""
-    return F.regexp_replace(line, f"^[{_WHITE}]+|[{_WHITE}]+$", "")
+    return F.btrim(line, F.lit(_WHITE))
 
 
 def collocate_offset(code: Column) -> Column:

@@ -43,7 +43,7 @@ def raw_tokens(lines: DataFrame) -> DataFrame:
 
 def clean(lines: DataFrame) -> DataFrame:
     """Lines without white space at their ends; blank and # lines go."""
-    out = lines.select("line", trimmed(F.regexp_replace("value", "[\\r\\n]+$", "")).alias("value"))
+    out = lines.select("line", trimmed(F.col("value")).alias("value"))
     return out.where((F.col("value") != "") & ~F.col("value").startswith("#"))
 
 
