@@ -281,7 +281,8 @@ def _wanted(rank, marks):
             column = _vec.texts(batch.column(2), lower=True)
             for at, raw, line_off, off in _lines(column):
                 first_line = np.searchsorted(line_off, off, "right") - 1
-                row = np.searchsorted(off, line_off[:-1], "right") - 1
+                # empty texts at the end of a chunk have no row of their own here, nor any token
+                row = np.minimum(np.searchsorted(off, line_off[:-1], "right") - 1, len(off) - 2)
                 line = (np.arange(len(row)) - first_line[row]).astype(np.int32)
                 name = _place(doc[at + row], th[at + row], line)
                 mark = name & U(MARKS - 1)
