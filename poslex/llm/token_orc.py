@@ -31,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
+#: Rows after which the writer looks whether a stripe is full; by default it is 5000, whatever their size.
+LOOK = 100
 #: Distinct pieces that a worker remembers at most; it then starts anew.
 REMEMBERED = 300_000
 _CHUNK = 8 << 20
@@ -148,7 +150,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, stripe_bytes
     """Encodes and writes without a shuffle; files are as many as the input's partitions."""
     ordered = docs.select("doc_id", "text").sortWithinPartitions("doc_id")
     out = encoded(ordered, vocabulary).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-    out.option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(stride)).option("compression", "zstd").orc(path)
+    out.option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(stride)).option("orc.rows.between.memory.checks", str(LOOK)).option("compression", "zstd").orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
