@@ -45,7 +45,7 @@ class Sketch:
         rows = self.entries if entries is None else entries
         heads = self.words.select(F.col("id").alias("head_id"), F.col("value").alias("head"))
         rels = self.relations.select(F.col("id").alias("rel_id"), F.col("value").alias("rel"))
-        return rows.join(F.broadcast(rels), "rel_id").join(heads, "head_id").join(self.collocates(), "coll_id")
+        return rows.join(rels, "rel_id").join(heads, "head_id").join(self.collocates(), "coll_id")
 
     def dump(self, head: str | None = None) -> DataFrame:
         """head, rel, coll, cnt, rnk, lcm, in stored order for one head or all. An unknown head gives no rows."""
