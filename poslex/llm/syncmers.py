@@ -6,8 +6,10 @@ passage that two documents share gives the same anchors in both, wherever it sta
 points holds one anchor at least, about 2 / (k - s + 1) of all positions are selected. An s-mer's hash is multilinear
 modulo 2**31 - 1, so that SQL can state it; an anchor's hash adds two such numbers over the whole k-mer.
 
-Edge cases: a text shorter than k (null and empty included) has no anchors and comes out with empty lists. Long texts
-are fingerprinted whole. Rows are independent: repeated rows come out alike, with whatever doc_id they have.
+Edge cases: a text shorter than k (null and empty included) has no anchors and comes out with empty lists, as may one
+shorter than 2k - s - 1. With ``whole`` such a text, unless it is empty, has one anchor: place 0 and a hash of the
+whole text. Long texts are fingerprinted whole. Rows are independent: repeated rows come out alike, with whatever
+doc_id they have.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from . import _vec
 
-K, S = 80, 16
+#: Runs of 39 code points hold an anchor; the shortest passages looked for have about 80.
+K, S = 24, 8
 PRIME = 2**31 - 1
 #: Factors of the s-mer hash, of the two halves of the k-mer hash.
 _rng = np.random.default_rng(77)
 INNER = _rng.integers(1, PRIME, S)
 OUTER = _rng.integers(1, PRIME, (2, K))
+#: Of the two halves of a whole text's hash; the first is the length's.
+WHOLE = _rng.integers(1, PRIME, (2, 2 * K - S))
 _CHARS = 1 << 19
 
 
@@ -39,7 +44,7 @@ def anchors(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     code = code.astype(np.int64)
     h = np.zeros(n, np.int64)
     for j in range(S):
-        # 16 products of under 2**31 * 2**21 each stay below 2**63
+        # S products of under 2**31 * 2**21 each stay below 2**63
         h += code[j : j + n] * INNER[j]
     h %= PRIME
     # the least over each window of width values, from block-wise running minima
@@ -57,28 +62,47 @@ def anchors(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for j in range(K):
         c = code[at + j]
         for half in range(2):
-            # at most 80 * 2**52 < 2**59
+            # at most K * 2**52 < 2**59
             out[half] += c * OUTER[half, j]
     return row, at - off[row], (out[0] % PRIME) * (2**31) + out[1] % PRIME
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = _vec.texts(batch.column(1))
-        for at, to in _vec.chunks(column, _CHARS):
-            part = column[at:to]
-            raw, off = _vec.buffers(part)
-            head = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-            code = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
-            row, place, h = anchors(code, head[off])
-            ends = pa.array(np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32))
-            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype(np.int32), h))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], *lists], ["doc_id", "places", "hashes"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+def whole_texts(code: np.ndarray, off: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes of the whole texts of rows that have no anchor, so fewer than 2K - S - 1 code points."""
+    size = off[row + 1] - off[row]
+    out = size * WHOLE[:, :1]
+    for j in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > j)
+        out[:, own] += code[off[row[own]] + j].astype(np.int64) * WHOLE[:, j + 1 : j + 2]
+    return (out[0] % PRIME) * (2**31) + out[1] % PRIME
+
+
+def _run(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = _vec.texts(batch.column(1))
+            for at, to in _vec.chunks(column, _CHARS):
+                part = column[at:to]
+                raw, off = _vec.buffers(part)
+                head = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+                code = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
+                off = head[off]
+                row, place, h = anchors(code, off)
+                if whole:
+                    bare = np.setdiff1d(np.flatnonzero(np.diff(off)), row)
+                    row, place, h = np.r_[row, bare], np.r_[place, np.zeros(len(bare), np.int64)], np.r_[h, whole_texts(code, off, bare)]
+                    order = np.argsort(row, kind="stable")
+                    row, place, h = row[order], place[order], h[order]
+                ends = pa.array(np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype(np.int32), h))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], *lists], ["doc_id", "places", "hashes"])
+
+    return run
+
+
+def fingerprints(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, places and hashes of its anchors, in order, for every document. No shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_run, f"doc_id {dict(docs.dtypes)['doc_id']}, places array<int>, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_run(whole), f"doc_id {dict(docs.dtypes)['doc_id']}, places array<int>, hashes array<long>")
 
 
 def shared_anchors(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -125,6 +125,32 @@ def test_syncmers_context_free(spark):
     assert syncmers.fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_syncmers_short_passages(spark):
+    """A run of 2k - s - 1 code points always has an anchor, and that is well below the shortest benchmark passage."""
+    k, s = syncmers.K, syncmers.S
+    assert 2 * k - s - 1 <= 51
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(81)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, "left " * i + p + " right" * i) for i, p in enumerate(passages)], SCHEMA)
+    items = spark.createDataFrame(list(enumerate(passages)), SCHEMA)
+    rows = syncmers.shared_anchors(syncmers.fingerprints(items), syncmers.fingerprints(docs)).collect()
+    assert {(r["doc_a"], r["shift"]) for r in rows if r["doc_a"] == r["doc_b"]} >= {(i, 5 * i) for i in range(60)}
+
+
+def test_syncmers_whole_texts(spark):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abcé日 \U0001f600") for _ in range(n)) for n in range(1, 2 * syncmers.K) for _ in range(4)]
+    rows = list(enumerate([*texts, "a", "a\0", "short", "short", "", None]))
+    got = {r["doc_id"]: list(zip(r["places"], r["hashes"], strict=True)) for r in syncmers.fingerprints(spark.createDataFrame(rows, SCHEMA), whole=True).collect()}
+    bare = [(d, t) for d, t in rows if t and not brute_anchors(t)]
+    assert any(len(t) >= syncmers.K for _, t in bare)
+    for d, t in rows:
+        assert got[d] == brute_anchors(t) if t and brute_anchors(t) else len(got[d]) == bool(t)
+    assert {got[d][0][0] for d, _ in bare} == {0}
+    assert len({got[d][0][1] for d, _ in bare}) == len({t for _, t in bare})
+    assert all((got[a] == got[b]) == (x == y) for a, x in bare for b, y in bare)
+
+
 # ---- token ids --------------------------------------------------------------------------------------------------
 def test_token_round_trip(spark, tmp_path):
     rng = random.Random(6)
