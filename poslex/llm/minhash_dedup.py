@@ -261,6 +261,11 @@ def one_of_each(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every document that is a near copy of another: doc_id, and the doc_id that is kept for its group."""
+    """Every document that is a near copy of another: doc_id, kept_doc_id of the one kept for its group, and which rows these are.
+
+    A row for each name (doc_id, text_hash) with the copies that bear it; if it is the kept one's name, one of these stays.
+    A null doc_id comes out as null (so does 2**63 - 1, which is read alike).
+    """
     gone = duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return gone.where("doc != keep_doc").select(F.col("doc").alias("doc_id"), F.col("keep_doc").alias("kept_doc_id"))
+    own = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1))
+    return gone.select(own("doc").alias("doc_id"), own("keep_doc").alias("kept_doc_id"), F.col("th").alias("text_hash"), F.col("keep_th").alias("kept_text_hash"), "copies")

@@ -167,6 +167,20 @@ def test_dedup_cases(spark):
     assert minhash_dedup.duplicates(empty).collect() == []
 
 
+def test_query_rows_that_share_an_id(spark, tmp_path):
+    """Repeated rows, rows that share a doc_id but not the text, and rows without a doc_id are duplicates like others."""
+    long = " ".join(f"w{i}" for i in range(200))
+    x, y, z = long, long.replace("w", "v"), long.replace("w", "u")
+    rows = [(1, x), (1, x), (1, x), (2, y), (2, y + " end"), (None, z), (None, z + " end"), (4, "a b c d"), (None, "A b c d"), (5, "alone in here"), (None, "also alone")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame(rows, SCHEMA).selectExpr("text", "xxhash64(text) AS h").collect()}
+    text = {h: t for t, h in hashes.items()}
+    got = sorted(((r["doc_id"], text[r["text_hash"]], r["kept_doc_id"], text[r["kept_text_hash"]], r["copies"]) for r in minhash_dedup.query(spark, str(tmp_path)).collect()), key=repr)
+    first = lambda a, b: sorted((a, b), key=hashes.get)
+    (y0, y1), (z0, z1) = first(y, y + " end"), first(z, z + " end")
+    assert got == sorted([(1, x, 1, x, 3), (2, y1, 2, y0, 1), (None, z1, None, z0, 1), (None, "A b c d", 4, "a b c d", 1)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
