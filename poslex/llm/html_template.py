@@ -13,11 +13,14 @@ that is on that share of all must be; (2) the sequence of these tokens on each p
 validity follow from the sequences; (3) extraction. The template of a host is broadcast if all of them are few, and
 joined else.
 
+Two pages are too few to tell a template's words from words that both texts happen to have, so in extraction a host of
+two pages has a template of tags alone: nothing of its text is lost, but navigation comes out, in slots of its own.
+
 Edge cases: a page without a host in its url (null included) belongs to the host ''. A null or empty page, or one
 without any words, has no slots. Broken markup is read leniently: unclosed elements end with the one around them,
 stray end tags stand for themselves. Comments, and the content of script and style, are left out. Repeated pages
 count as often as they are there. A host whose classes are all invalid (or too small) has no template: the whole text
-of each page is one slot.
+of each page is one slot. So it is for a host of one page.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ from ._vec import U
 
 SUPPORT = 0.5
 SIZE = 3
-#: A class needs this many pages whatever the share: a host with fewer has no template.
+#: A class needs this many pages whatever the share.
 LEAST_PAGES = 3
+#: For hosts of this many pages, extraction takes classes of tags that are on all of them.
+FEW_PAGES = 2
 #: Hosts beyond this number have their templates joined without a broadcast.
 BROADCAST_HOSTS = 20_000
 
@@ -91,7 +96,7 @@ class _Page:
 
 
 def sequence(column: pa.Array, paths: dict[int, str]) -> tuple[np.ndarray, ...]:
-    """Page, begin, end, token, path and whether it is a word, of every token of the pages, in order."""
+    """Page, begin, end, token, path and whether it is a word, of every token of the pages, in order. Tokens of tags are even, of words odd."""
     raw, off = _vec.buffers(column)
     data = raw.tobytes()
     begin, end, token, path = [], [], [], []
@@ -114,14 +119,14 @@ def sequence(column: pa.Array, paths: dict[int, str]) -> tuple[np.ndarray, ...]:
     w_path = np.where(near, path[np.maximum(tag, 0)], U(0)) if len(begin) else np.zeros(len(w_begin), U)
     w_token = _vec.mix(_vec.span_hash(blank, w_begin, w_end) ^ w_path)
     real = token != 0
-    out = [np.concatenate(x) for x in ((page[real], w_page), (begin[real], w_begin), (end[real], w_end), (token[real], w_token), (path[real], w_path))]
+    out = [np.concatenate(x) for x in ((page[real], w_page), (begin[real], w_begin), (end[real], w_end), (token[real] & ~U(1), w_token | U(1)), (path[real], w_path))]
     word = np.r_[np.zeros(int(real.sum()), np.bool_), np.ones(len(w_begin), np.bool_)]
     order = np.argsort(out[1], kind="stable")
     return (*(x[order] for x in out), word[order])
 
 
 def _candidates(support: float):
-    """host, token: tokens on the share of the host's pages that this task has."""
+    """host, token, n: tokens on the share of the host's pages that this task has; a row without a token has the number of these pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, int] = {}
@@ -145,7 +150,8 @@ def _candidates(support: float):
         count, host = np.diff(np.r_[new, len(pair)]), pair[new, 0].astype(np.int64)
         ok = count >= support * total[host]
         names = pa.array(list(hosts)).take(pa.array(host[ok]))
-        yield pa.RecordBatch.from_arrays([names, pa.array(pair[new, 1][ok].view(np.int64))], ["host", "token"])
+        yield pa.RecordBatch.from_arrays([names, pa.array(pair[new, 1][ok].view(np.int64)), pa.nulls(len(names), pa.int64())], ["host", "token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.nulls(len(hosts), pa.int64()), pa.array(total)], ["host", "token", "n"])
 
     return run
 
@@ -276,16 +282,21 @@ def _joined(pages: DataFrame, table: DataFrame) -> DataFrame:
     return pages.join(F.broadcast(table) if table.count() <= BROADCAST_HOSTS else table, "host", "left")
 
 
-def classes(pages: DataFrame, support: float = SUPPORT, size: int = SIZE) -> DataFrame:
-    """host, print, pages, tokens (in their order): the valid equivalence classes of each host."""
-    found = pages.select("host", "html").mapInArrow(_candidates(support), "host string, token long").distinct()
-    found = _run.materialise(found.groupBy("host").agg(F.collect_list("token").alias("wanted")), "candidates")
+def classes(pages: DataFrame, support: float = SUPPORT, size: int = SIZE, few: int = 0) -> DataFrame:
+    """host, print, pages, tokens (in their order): the valid equivalence classes of each host.
+
+    Those of hosts with ``few`` pages are of tags only, and need no more pages than these.
+    """
+    found = pages.select("host", "html").mapInArrow(_candidates(support), "host string, token long, n long")
+    found = found.groupBy("host").agg(F.collect_set("token").alias("wanted"), F.sum("n").alias("n"))
+    found = found.select("host", F.when(F.col("n") == few, F.filter("wanted", lambda x: x % 2 == 0)).otherwise(F.col("wanted")).alias("wanted"))
+    found = _run.materialise(found.where(F.size("wanted") > 0), "candidates")
     seq = _joined(pages.select("host", "page", "html"), found).select("host", "page", "html", "wanted").mapInArrow(_sequences, "host string, page long, tokens array<long>")
     seq = _run.materialise(seq, "sequences")
     all_pages = seq.groupBy("host").agg(F.count("*").alias("n"))
     vectors = seq.mapInArrow(_vectors, "host string, token long, pages long, high long, low long").groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "high", "low")))
     groups = vectors.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= size)
-    groups = groups.join(all_pages, "host").where((F.col("pages") >= F.col("n") * support) & (F.col("pages") >= LEAST_PAGES))
+    groups = groups.join(all_pages, "host").where((F.col("pages") >= F.col("n") * support) & (F.col("pages") >= F.when(F.col("n") == few, few).otherwise(LEAST_PAGES)))
     groups = _run.materialise(groups.select("host", F.xxhash64("pages", "high", "low").alias("print"), "pages", "tokens"), "classes")
     by_host = groups.groupBy("host").agg(F.collect_list(F.struct("print", "tokens")).alias("classes"))
     told = _joined(seq.select("host", "tokens"), by_host).where("classes IS NOT NULL").select("host", "tokens", "classes")
@@ -303,7 +314,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, size: int = SIZE) -> Dat
     """page_id, host, slot (its number on the page), path and text of every slot."""
     page_type = dict(pages.dtypes)["page_id"]
     rows = with_host(pages)
-    template = classes(rows, support, size).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("wanted"))
+    template = classes(rows, support, size, FEW_PAGES).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("wanted"))
     template = _run.materialise(template, "templates")
     out = _joined(rows.select("page_id", "host", "html"), template).select("page_id", "host", "html", "wanted")
     return out.mapInArrow(_extracted, f"page_id {page_type}, host string, slot int, path string, text string")

@@ -76,6 +76,21 @@ def test_slots(spark):
         assert got[i][0][0] == "html/head/title"
 
 
+def test_two_pages(spark):
+    """A host of two pages has a template of tags; words that both pages have stay in the slots."""
+    rows, made = site("a.org", 2, 7)
+    rows += [(9, "https://b.org/", page("b.org", "alone", ["x"]))]
+    got = defaultdict(list)
+    for r in html_template.extract(spark.createDataFrame(rows, SCHEMA)).orderBy("page_id", "slot").collect():
+        got[r["page_id"]].append((r["path"], r["text"]))
+    for i, (title, items) in enumerate(made):
+        texts = [t for _, t in got[i]]
+        assert texts[:3] == [title, "Welcome to a.org", title]
+        assert got[i][-1] == ("html/body/p", "Copyright a.org all rights reserved")
+        assert " ".join(" ".join(texts[3:-1]).split()) == " ".join(f"Name {x}" for x in items)
+    assert len(got[9]) == 1
+
+
 def test_page_cases(spark):
     same = "<p>one two three"
     rows = [(1, None, None), (2, "", ""), (3, "https://x.org/a", "<div><p>un<b>closed"), (None, "https://x.org/b", "</div>stray & &amp; text <br/> more"), (5, "https://y.org", same), (5, "https://y.org", same), (7, "https://z.org/" + "l" * 9, "<p>" + "word " * 50_000)]
