@@ -19,7 +19,7 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: m.query for name, m in _MODULES.items()}
+    return {name: m.query for name, m in _MODULES.items()} | {"op7_passages": syncmers.passages_query}
 
 
 def oracle_sql() -> dict:

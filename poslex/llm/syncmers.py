@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._run import materialise
 
 #: Runs of 39 code points hold an anchor; the shortest passages looked for have about 80.
 K, S = 24, 8
@@ -115,6 +116,43 @@ def shared_anchors(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("doc_a", "doc_b", "shift").agg(F.count("*").alias("anchors"), F.min("place_a").alias("first"), F.max("place_a").alias("last"))
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """Positional matches of all rows without their pairs: doc_id, passage, first, last, anchors, occurrences, row.
+
+    A passage is a longest chain of anchors that always come together, at the same distances; it is named by the hash of
+    its first one. Any two of its occurrences match with the shift first less first, and these are all that
+    shared_anchors finds. Every anchor that is there more than once is in one passage, so the rows are fewer than the
+    anchors, however many copies of one there are. ``row`` tells apart rows that share a doc_id.
+    """
+    rows = materialise(fingerprints(docs, whole=True).where(F.size("places") > 0).withColumn("row", F.monotonically_increasing_id()), "prints")
+    none = lambda kind: F.array(F.lit(None).cast(kind))
+    before = lambda c, kind: F.concat(none(kind), F.slice(c, 1, F.size(c) - 1)).alias(f"{c}_before")
+    after = lambda c, kind: F.concat(F.slice(c, 2, F.size(c)), none(kind)).alias(f"{c}_after")
+    kinds = (("places", "int"), ("hashes", "long"))
+    near = rows.select("places", "hashes", *(f(*x) for f in (before, after) for x in kinds))
+    near = near.select(F.explode(F.arrays_zip(*near.columns)).alias("z")).select(
+        F.col("z.hashes").alias("hash"),
+        F.col("z.hashes_before").alias("other"),
+        F.when(F.col("z.hashes_before").isNotNull(), F.xxhash64("z.hashes_before", F.col("z.places") - F.col("z.places_before"))).alias("left"),
+        F.when(F.col("z.hashes_after").isNotNull(), F.xxhash64("z.hashes_after", F.col("z.places_after") - F.col("z.places"))).alias("right"),
+    )
+    count = [F.count("*").alias("n"), F.min("other").alias("other")] + [f(c).alias(f"{c}_{k}") for c in ("left", "right") for k, f in (("n", F.count), ("min", F.min), ("max", F.max))]
+    one = lambda c: ((F.col(f"{c}_n") == F.col("n")) & (F.col(f"{c}_min") == F.col(f"{c}_max"))).alias(f"one_{c}")
+    found = materialise(near.groupBy("hash").agg(*count).where("n > 1").select("hash", "n", "other", one("left"), one("right")), "repeated")
+    # an anchor goes on with a passage if it always comes after the same one, and that one always before it
+    on = found.where("one_left").select("hash", "other").join(found.where("one_right").select(F.col("hash").alias("other")), "other").select("hash", F.lit(0).alias("starts"))
+    found = found.select("hash", "n").join(on, "hash", "left").select("hash", "n", F.coalesce("starts", F.lit(1)).alias("starts"))
+    at = rows.select("row", "doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("z")).select("row", "doc_id", F.col("z.places").alias("place"), F.col("z.hashes").alias("hash"))
+    at = at.join(found, "hash").withColumn("number", F.sum("starts").over(Window.partitionBy("row").orderBy("place")))
+    ends = (F.min_by("hash", "place").alias("passage"), F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("anchors"), F.first("n").alias("occurrences"))
+    return at.groupBy("row", "number").agg(F.first("doc_id").alias("doc_id"), *ends).select("doc_id", "passage", "first", "last", "anchors", "occurrences", "row")
+
+
+def passages_query(spark, sf_dir: str) -> DataFrame:
+    """The passages that all documents share, or repeat."""
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """The fingerprints of all documents."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -151,6 +151,33 @@ def test_syncmers_whole_texts(spark):
     assert all((got[a] == got[b]) == (x == y) for a, x in bare for b, y in bare)
 
 
+def test_passages_against_pairs(spark, tmp_path):
+    """The pairs of occurrences of passages are the positional matches of all pairs of rows, whatever the copies."""
+    rng = random.Random(11)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 150))) for _ in range(8)]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(40)] + ["x" * 60, "y" + "x" * 50, "short", "short", "", None] + [parts[0] * 3] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    prints = syncmers.fingerprints(docs, whole=True)
+    want = {(r["doc_a"], r["doc_b"], r["shift"]): (r["anchors"], r["first"], r["last"]) for r in syncmers.shared_anchors(prints, prints).where("doc_a != doc_b OR shift != 0").collect()}
+    groups, got = {}, {}
+    from poslex.llm import registry
+
+    for r in registry.queries()["op7_passages"](spark, str(tmp_path)).collect():
+        groups.setdefault(r["passage"], []).append(r)
+    for own in groups.values():
+        assert {r["occurrences"] for r in own} == {len(own)} and len(own) > 1 and len({(r["anchors"], r["last"] - r["first"]) for r in own}) == 1
+        for a in own:
+            for b in own:
+                if (k := (a["doc_id"], b["doc_id"], b["first"] - a["first"])) and a is not b:
+                    n, low, high = got.get(k, (0, 2**31, -1))
+                    got[k] = (n + a["anchors"], min(low, a["first"]), max(high, a["last"]))
+    assert got == want and max(map(len, groups.values())) > 20
+    same = [(6, "same words here, and more of them than one anchor spans"), (6, "same words here, and more of them than one anchor spans"), (None, "short"), (None, "short")]
+    assert len({r["row"] for r in syncmers.passages(spark.createDataFrame(same, SCHEMA)).collect()}) == 4
+    assert syncmers.passages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 # ---- token ids --------------------------------------------------------------------------------------------------
 def test_token_round_trip(spark, tmp_path):
     rng = random.Random(6)
