@@ -10,8 +10,8 @@ tokens are the slots, and their texts are extracted.
 
 The steps over all pages: (1) tokens that are on the share of pages in some task's part of a host, which any token
 that is on that share of all must be; (2) the sequence of these tokens on each page; counts, classes and their
-validity follow from the sequences; (3) extraction. The template of a host is broadcast if all of them are few, and
-joined else.
+validity follow from the sequences; (3) extraction. The templates are broadcast if all their tokens are few, and else
+joined by host, pages of large hosts under several keys.
 
 Two pages are too few to tell a template's words from words that both texts happen to have, so in extraction a host of
 two pages has a template of tags alone: nothing of its text is lost, but navigation comes out, in slots of its own.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _run, _vec
@@ -45,54 +45,54 @@ SIZE = 3
 LEAST_PAGES = 3
 #: For hosts of this many pages, extraction takes classes of tags that are on all of them.
 FEW_PAGES = 2
-#: Hosts beyond this number have their templates joined without a broadcast.
-BROADCAST_HOSTS = 20_000
+#: A table with more tokens than these (8 bytes each) is joined without a broadcast.
+BROADCAST_TOKENS = 2_000_000
+#: There, hosts with more than one of so many pages (so fewer hosts than that) have their pages spread over SALTS keys.
+HOT = 1000
+SALTS = 64
 
 _TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<!(?:[^<>]*)>|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][\w:-]*)[^<>]*>", re.S | re.I)
 _VOID = frozenset((b"area", b"base", b"br", b"col", b"embed", b"hr", b"img", b"input", b"link", b"meta", b"source", b"track", b"wbr"))
+_hash = xxhash.xxh64_intdigest
 _ALONE = frozenset((b"p", b"li", b"tr", b"td", b"th", b"option", b"dt", b"dd"))
 _BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|blockquote|pre|dt|dd)\b[^<>]*>|<br\b[^<>]*>", re.I)
 _ANY = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!?/?[a-zA-Z][^<>]*>", re.S | re.I)
 
 
-class _Page:
-    """Tags of one page: begin, end and token of each, and the path that holds after it."""
-
-    def __init__(self, raw: bytes, paths: dict[int, str]):
-        self.begin, self.end, self.token, self.path = [], [], [], []
-        stack: list[tuple[bytes, int]] = [(b"", 0)]
-        paths.setdefault(0, "")
-        for m in _TAG.finditer(raw):
-            name = m[3]
-            if name is None:
-                whole = m[1]
-                if whole is None:
-                    token = None
+def _tags(raw: bytes, paths: dict[int, str], begin: list[int], end: list[int], token: list[int], path: list[int], base: int) -> None:
+    """Appends the begin, end and token of each tag of one page, and the path that holds after it."""
+    stack: list[tuple[bytes, int]] = [(b"", 0)]
+    paths.setdefault(0, "")
+    for m in _TAG.finditer(raw):
+        name, own = m[3], 0
+        if name is None:
+            if m[1] is not None:
+                own = _hash(m[1].lower(), stack[-1][1])
+        else:
+            name = name.lower()
+            if m[2]:
+                at = len(stack) - 1
+                while at and stack[at][0] != name:
+                    at -= 1
+                if at:
+                    own = _hash(b"/", stack[at][1])
+                    del stack[at:]
                 else:
-                    token = xxhash.xxh64_intdigest(whole.lower(), stack[-1][1])
+                    own = _hash(b"/" + name, stack[-1][1])
             else:
-                name = name.lower()
-                if m[2]:
-                    token = xxhash.xxh64_intdigest(b"/" + name, stack[-1][1])
-                    at = len(stack) - 1
-                    while at and stack[at][0] != name:
-                        at -= 1
-                    if at:
-                        token = xxhash.xxh64_intdigest(b"/", stack[at][1])
-                        del stack[at:]
-                else:
-                    if name in _ALONE and stack[-1][0] == name:
-                        stack.pop()
-                    parent = stack[-1][1]
-                    token = xxhash.xxh64_intdigest(name, parent)
-                    if name not in _VOID and not m[0].endswith(b"/>"):
-                        stack.append((name, token))
-                        if token not in paths:
-                            paths[token] = (paths[parent] + "/" if parent else "") + name.decode("ascii", "replace")
-            self.begin.append(m.start())
-            self.end.append(m.end())
-            self.token.append(token or 0)
-            self.path.append(stack[-1][1])
+                if name in _ALONE and stack[-1][0] == name:
+                    stack.pop()
+                parent = stack[-1][1]
+                own = _hash(name, parent)
+                if name not in _VOID and raw[m.end() - 2] != 47:
+                    stack.append((name, own))
+                    if own not in paths:
+                        paths[own] = (paths[parent] + "/" if parent else "") + name.decode("ascii", "replace")
+        a, b = m.span()
+        begin.append(base + a)
+        end.append(base + b)
+        token.append(own)
+        path.append(stack[-1][1])
 
 
 def sequence(column: pa.Array, paths: dict[int, str]) -> tuple[np.ndarray, ...]:
@@ -100,12 +100,8 @@ def sequence(column: pa.Array, paths: dict[int, str]) -> tuple[np.ndarray, ...]:
     raw, off = _vec.buffers(column)
     data = raw.tobytes()
     begin, end, token, path = [], [], [], []
-    for i in range(len(off) - 1):
-        base, page = int(off[i]), _Page(data[off[i] : off[i + 1]], paths)
-        begin += [base + x for x in page.begin]
-        end += [base + x for x in page.end]
-        token += page.token
-        path += page.path
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        _tags(data[a:b], paths, begin, end, token, path, a)
     begin, end = np.array(begin, np.int64), np.array(end, np.int64)
     token, path = np.array(token, U), np.array(path, U)
     cover = np.zeros(len(raw) + 1, np.int8)
@@ -125,6 +121,19 @@ def sequence(column: pa.Array, paths: dict[int, str]) -> tuple[np.ndarray, ...]:
     return (*(x[order] for x in out), word[order])
 
 
+def _named(owner: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each pair of an owner's number and a token."""
+    return _vec.mix(token) + owner.astype(U) * U(0x9E3779B97F4A7C15)
+
+
+def _distinct(page: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The places of the first of equal tokens on a page, in no order."""
+    name = _named(page, token)
+    order = np.argsort(name)
+    name = name[order]
+    return order[np.r_[True, name[1:] != name[:-1]]] if len(name) else order
+
+
 def _candidates(support: float):
     """host, token, n: tokens on the share of the host's pages that this task has; a row without a token has the number of these pages."""
 
@@ -137,20 +146,17 @@ def _candidates(support: float):
             column = _vec.texts(batch.column(1))
             for at, to in _vec.chunks(column):
                 page, _, _, token, _, _ = sequence(column[at:to], {})
-                pair = np.unique(np.stack([page.astype(U), token], 1), axis=0) if len(page) else np.zeros((0, 2), U)
-                pair[:, 0] = number[at:to][pair[:, 0].astype(np.int64)].astype(U)
-                seen.append(pair)
+                first = _distinct(page, token)
+                seen.append((number[at:to][page[first]], token[first]))
         if not hosts or not seen:
             return
         total = np.bincount(np.concatenate(pages), minlength=len(hosts))
-        pair = np.concatenate(seen)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        pair = pair[order]
-        new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)]) if len(pair) else np.zeros(0, np.int64)
-        count, host = np.diff(np.r_[new, len(pair)]), pair[new, 0].astype(np.int64)
+        host, token = (np.concatenate(x) for x in zip(*seen, strict=True))
+        _, first, count = np.unique(_named(host, token), return_index=True, return_counts=True)
+        host, token = host[first], token[first]
         ok = count >= support * total[host]
         names = pa.array(list(hosts)).take(pa.array(host[ok]))
-        yield pa.RecordBatch.from_arrays([names, pa.array(pair[new, 1][ok].view(np.int64)), pa.nulls(len(names), pa.int64())], ["host", "token", "n"])
+        yield pa.RecordBatch.from_arrays([names, pa.array(token[ok].view(np.int64)), pa.nulls(len(names), pa.int64())], ["host", "token", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.nulls(len(hosts), pa.int64()), pa.array(total)], ["host", "token", "n"])
 
     return run
@@ -161,8 +167,8 @@ def _member(page: np.ndarray, token: np.ndarray, wanted: list[np.ndarray]) -> np
     sizes = np.array([len(x) for x in wanted])
     if not len(token) or not sizes.sum():
         return np.zeros(len(token), np.bool_)
-    key = np.sort(_vec.mix(np.concatenate(wanted).view(U)) + np.repeat(np.arange(len(wanted)), sizes).astype(U) * U(0x9E3779B97F4A7C15))
-    own = _vec.mix(token) + page.astype(U) * U(0x9E3779B97F4A7C15)
+    key = np.sort(_named(np.repeat(np.arange(len(wanted)), sizes), np.concatenate(wanted).view(U)))
+    own = _named(page, token)
     return key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own
 
 
@@ -278,8 +284,16 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.col("html").cast("string").alias("html"))
 
 
-def _joined(pages: DataFrame, table: DataFrame) -> DataFrame:
-    return pages.join(F.broadcast(table) if table.count() <= BROADCAST_HOSTS else table, "host", "left")
+def _joined(pages: DataFrame, table: DataFrame, tokens: Column) -> DataFrame:
+    """The pages with their host's row of the table, null where there is none. ``tokens``: how many a row of the table holds."""
+    if (table.agg(F.sum(tokens)).first()[0] or 0) <= BROADCAST_TOKENS:
+        return pages.join(F.broadcast(table), "host", "left")
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
+    hot = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).where(f"n * {HOT} > all").select("host", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.monotonically_increasing_id() % SALTS).otherwise(0)
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    spread = pages.join(F.broadcast(hot), "host", "left").withColumn("salt", salt.cast("int")).drop("hot")
+    return spread.join(table.join(F.broadcast(hot), "host", "left").withColumn("salt", salts).drop("hot"), ["host", "salt"], "left").drop("salt")
 
 
 def classes(pages: DataFrame, support: float = SUPPORT, size: int = SIZE, few: int = 0) -> DataFrame:
@@ -291,7 +305,7 @@ def classes(pages: DataFrame, support: float = SUPPORT, size: int = SIZE, few: i
     found = found.groupBy("host").agg(F.collect_set("token").alias("wanted"), F.sum("n").alias("n"))
     found = found.select("host", F.when(F.col("n") == few, F.filter("wanted", lambda x: x % 2 == 0)).otherwise(F.col("wanted")).alias("wanted"))
     found = _run.materialise(found.where(F.size("wanted") > 0), "candidates")
-    seq = _joined(pages.select("host", "page", "html"), found).select("host", "page", "html", "wanted").mapInArrow(_sequences, "host string, page long, tokens array<long>")
+    seq = _joined(pages.select("host", "page", "html"), found, F.size("wanted")).select("host", "page", "html", "wanted").mapInArrow(_sequences, "host string, page long, tokens array<long>")
     seq = _run.materialise(seq, "sequences")
     all_pages = seq.groupBy("host").agg(F.count("*").alias("n"))
     vectors = seq.mapInArrow(_vectors, "host string, token long, pages long, high long, low long").groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "high", "low")))
@@ -299,7 +313,7 @@ def classes(pages: DataFrame, support: float = SUPPORT, size: int = SIZE, few: i
     groups = groups.join(all_pages, "host").where((F.col("pages") >= F.col("n") * support) & (F.col("pages") >= F.when(F.col("n") == few, few).otherwise(LEAST_PAGES)))
     groups = _run.materialise(groups.select("host", F.xxhash64("pages", "high", "low").alias("print"), "pages", "tokens"), "classes")
     by_host = groups.groupBy("host").agg(F.collect_list(F.struct("print", "tokens")).alias("classes"))
-    told = _joined(seq.select("host", "tokens"), by_host).where("classes IS NOT NULL").select("host", "tokens", "classes")
+    told = _joined(seq.select("host", "tokens"), by_host, F.size(F.flatten("classes.tokens"))).where("classes IS NOT NULL").select("host", "tokens", "classes")
     told = _run.materialise(told.mapInArrow(_checked, "host string, print long, other long, order array<long>").distinct(), "checked")
     orders = told.where("other IS NULL").groupBy("host", "print").agg(F.count("*").alias("k"), F.first("order").alias("order")).where("k = 1 AND size(order) > 0")
     valid = orders.join(groups, ["host", "print"]).select("host", "print", "pages", F.col("order").alias("tokens"), F.struct((F.size("order") * F.col("pages")).alias("weight"), "print").alias("w"))
@@ -316,7 +330,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, size: int = SIZE) -> Dat
     rows = with_host(pages)
     template = classes(rows, support, size, FEW_PAGES).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("wanted"))
     template = _run.materialise(template, "templates")
-    out = _joined(rows.select("page_id", "host", "html"), template).select("page_id", "host", "html", "wanted")
+    out = _joined(rows.select("page_id", "host", "html"), template, F.size("wanted")).select("page_id", "host", "html", "wanted")
     return out.mapInArrow(_extracted, f"page_id {page_type}, host string, slot int, path string, text string")
 
 
