@@ -193,7 +193,7 @@ def _write_column(spark: SparkSession, column: DataFrame, path: str) -> None:
 
 def encode(spark: SparkSession, config: Config, text: str | DataFrame) -> Collection:
     """Encodes vertical text (a path, or lines as (line, value)) into the collection's folder, without inverted indexes."""
-    lines = vertical.read_lines(spark, text) if isinstance(text, str) else text
+    lines = vertical.Lines.of_files(spark, text) if isinstance(text, str) else text
     parsed = vertical.parse(lines, config)
     for name, _ in config.positional():
         _write_column(spark, parsed.tokens.select("pos", F.col(name).alias("value")), config.path + name)

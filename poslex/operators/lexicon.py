@@ -6,11 +6,14 @@ order of their first position and has their rank in byte order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._numbering import numbered
+from ._numbering import PLACES, carried, numbered, with_offsets
 
 
 def frequencies(column: DataFrame) -> DataFrame:
@@ -82,16 +85,72 @@ def positions_of_word(index: DataFrame, lex: DataFrame, value: str) -> DataFrame
     return index.join(F.broadcast(id_of(lex, value).select("id")), "id", "left_semi").select("pos")
 
 
-def gaps(index: DataFrame) -> DataFrame:
-    """id, pos and gap: its distance from the position before on the list, the first from -1."""
-    before = F.lag("pos", 1, -1).over(W.partitionBy("id").orderBy("pos"))
-    return index.select("id", "pos", (F.col("pos") - before).alias("gap"))
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, pos and the position before on the list (null for the partition's first row); the partition's last row."""
+    last = part = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number, pos, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        part = int(at[0]) // PLACES
+        before = np.r_[0, pos[:-1]]
+        before[np.r_[True, number[1:] != number[:-1]]] = -1
+        known = np.ones(len(pos), np.bool_)
+        if last is None:
+            known[0] = False
+        elif last[0] == number[0]:
+            before[0] = last[1]
+        last = int(number[-1]), int(pos[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(before, mask=~known), pa.array(np.full(len(pos), part)), pa.array(np.zeros(len(pos), np.bool_))], _STEPS)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]]), pa.nulls(1, pa.int64()), pa.array([part]), pa.array([True])], _STEPS)
+
+
+_STEPS = ["id", "pos", "before", "_part", "_edge"]
+
+
+def gaps(ids: DataFrame) -> DataFrame:
+    """id, pos and gap: its distance from the position before on the id's list, the first from -1.
+
+    Lists aren't gathered: rows are range-partitioned by id and position, and a partition's first row meets the last one before it.
+    """
+    rows, edges = carried(ids.select("id", "pos"), ["id", "pos"], _differences, "id long, pos long, before long", "gaps")
+    ends = [(None, None), *((e["id"], e["pos"]) for e in edges)]
+    rows = with_offsets(rows, "_part", [(e["_part"], *end) for e, end in zip(edges, ends, strict=False)], "last_id long, last_pos long")
+    before = F.coalesce("before", F.when(F.col("last_id") == F.col("id"), F.col("last_pos")), F.lit(-1))
+    return rows.select("id", "pos", (F.col("pos") - before).alias("gap"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, ord and the sum of the id's gaps so far in the partition; the partition's last row."""
+    last = part = None
+    total = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number, gap, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+        part, sums = int(at[0]) // PLACES, np.cumsum(gap)
+        new = np.r_[last != number[0], number[1:] != number[:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        run = sums - np.where((first == 0) & ~new[0], -total, (sums - gap)[first])
+        last, total = int(number[-1]), int(run[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(run), pa.array(np.full(len(run), part)), pa.array(np.zeros(len(run), np.bool_))], _RUNS)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last]), pa.nulls(1, pa.int64()), pa.array([total]), pa.array([part]), pa.array([True])], _RUNS)
+
+
+_RUNS = ["id", "ord", "run", "_part", "_edge"]
 
 
 def from_gaps(gapped: DataFrame) -> DataFrame:
-    """The inverse of gaps for (id, ord, gap)."""
-    run = F.sum("gap").over(W.partitionBy("id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-    return gapped.select("id", "ord", (run - 1).alias("pos"))
+    """The inverse of gaps for (id, ord, gap): id, ord, pos."""
+    rows, edges = carried(gapped.select("id", "ord", "gap"), ["id", "ord"], _sums, "id long, ord long, run long", "sums")
+    before, end = [], (None, 0)
+    for e in edges:
+        before.append((e["_part"], *end))
+        end = e["id"], e["run"] + (end[1] if e["id"] == end[0] else 0)
+    rows = with_offsets(rows, "_part", before, "last_id long, last_sum long")
+    return rows.select("id", "ord", (F.col("run") + F.when(F.col("last_id") == F.col("id"), F.col("last_sum")).otherwise(0) - 1).alias("pos"))
 
 
 def derived(lex: DataFrame, function: Column) -> tuple[DataFrame, DataFrame]:

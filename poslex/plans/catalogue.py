@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import adjusted_scale, collocate_offset, score
 from ..operators import lexicon as lx
 from ..operators import structures as st
-from ..operators._numbering import written
+from ..operators._shared import written
 from ..operators.sketch import Sketch, neighbours
 from ..sources import config, tables, vertical
 
@@ -110,7 +110,7 @@ def lex_sorted_rank(spark, d):
 
 def _docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Id column (pos, id, value) and lexicon of the documents' words."""
-    tokens = tables.doc_tokens(spark, d)
+    tokens = written(tables.doc_tokens(spark, d), "tokens")
     lex = written(lx.lexicon(tokens), "lexicon")
     return lx.encoded(tokens, lex), lex
 
@@ -176,7 +176,7 @@ def rev_id2poss(spark, d):
 
 @_query(_sql("ids", "SELECT id, pos, pos - lag(pos, 1, -1) OVER (PARTITION BY id ORDER BY pos) AS gap FROM ids"))
 def rev_gaps(spark, d):
-    return lx.gaps(lx.postings(_docs(spark, d)[0]))
+    return lx.gaps(_docs(spark, d)[0])
 
 
 @_query(_sql("docs", "SELECT dense_rank() OVER (ORDER BY f) - 1 AS id, num AS pos FROM (SELECT num, min(num) OVER (PARTITION BY source) AS f FROM docs)"))

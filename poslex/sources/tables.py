@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators._numbering import numbered, running_sum
+from .vertical import Lines
 
 #: All columns, as shorter keys have ties.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -24,10 +25,10 @@ def _placed(rows: DataFrame, order: list[str], items: Column) -> DataFrame:
     return running_sum(own, order, F.col("n"), "beg").select(*order, "beg", (F.col("beg") + F.col("n")).alias("end"))
 
 
-def laid_out(rows: DataFrame, order: list[str], items: Column, name: str = "pos", first: int = 0) -> DataFrame:
-    """name, value: the items of all rows, numbered in the order of the rows and their place in the array."""
+def laid_out(rows: DataFrame, order: list[str], items: Column) -> DataFrame:
+    """pos, value: the items of all rows, numbered in the order of the rows and their place in the array."""
     at = rows.join(_placed(rows, order, items).drop("end"), order)
-    return at.select("beg", F.posexplode(items).alias("k", "value")).select((F.col("beg") + F.col("k") + first).alias(name), "value")
+    return at.select("beg", F.posexplode(items).alias("k", "value")).select((F.col("beg") + F.col("k")).alias("pos"), "value")
 
 
 def doc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +43,13 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid_out(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], words(F.col("text")))
 
 
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line (from 1), value: the lines of all documents as they are."""
-    return laid_out(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], F.split("text", "\n", -1), "line", 1)
+def text_lines(spark: SparkSession, sf_dir: str) -> Lines:
+    """The lines of all documents as they are."""
+    return Lines.of_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], F.split("text", "\n", -1))
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line, value: vertical text of the documents.
+def doc_lines(spark: SparkSession, sf_dir: str) -> Lines:
+    """Vertical text of the documents.
 
     Each is a <doc> with an <s> for each line of its text and a token line (word, lower-cased word) for each word;
     before it stand two <pb/>, the second with its doc_id.
@@ -58,13 +59,13 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentence = lambda x: F.concat(F.array(F.lit("<s>")), F.transform(words(x), token), F.array(F.lit("</s>")))
     head = F.array(F.lit("<pb/>"), F.format_string('<pb n="%s"/>', F.col("doc_id").cast("string")), F.format_string('<doc lang="%s" source=\'%s\'>', "lang", "source"))
     items = F.concat(head, F.flatten(F.transform(F.split("text", "\n", -1), sentence)), F.array(F.lit("</doc>")))
-    return laid_out(rows.select("doc_id", "lang", "source", "text"), ["doc_id"], items, "line", 1)
+    return Lines.of_rows(rows.select("doc_id", "lang", "source", "text"), ["doc_id"], items)
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line, value: the pages' tags and the texts between them, a line each."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "[\\r\\n]+", " ").alias("html"))
-    return laid_out(rows, ["page_id"], F.regexp_extract_all("html", F.lit("<[^<>]*>|[^<>]+"), F.lit(0)), "line", 1)
+    return Lines.of_rows(rows, ["page_id"], F.regexp_extract_all("html", F.lit("<[^<>]*>|[^<>]+"), F.lit(0))).numbered()
 
 
 def talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +82,8 @@ def talk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid_out(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], words(F.col("text")))
 
 
-def talk_lines(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """line, value: vertical text of the conversations, <conv> around <turn role="...">, a word a line.
+def talk_lines(spark: SparkSession, sf_dir: str, broken: bool = False) -> Lines:
+    """Vertical text of the conversations, <conv> around <turn role="...">, a word a line.
 
     ``broken`` puts a </turn> before and after each <conv>, and a <conv> that isn't closed at the end.
     """
@@ -95,7 +96,7 @@ def talk_lines(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFr
     opening = F.when(F.col("first"), F.array(*(F.lit(x) for x in (["</turn>", "<conv>", "</turn>"] if broken else ["<conv>"])))).otherwise(none)
     closing = F.when(F.col("last") & F.col("final"), F.array(*(F.lit(x) for x in (["</conv>", "<conv>"] if broken else ["</conv>"])))).when(F.col("last"), F.array(F.lit("</conv>"))).otherwise(none)
     items = F.concat(opening, F.array(F.format_string('<turn role="%s">', "role")), words(F.col("text")), F.array(F.lit("</turn>")), closing)
-    return laid_out(rows, ["conv_id", "turn"], items, "line", 1)
+    return Lines.of_rows(rows.select("conv_id", "turn", items.alias("items")), ["conv_id", "turn"], F.col("items"))
 
 
 def order_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,26 @@
 """Vertical text: one token a line with tab-separated annotations, structures as tags on lines of their own.
 
-Lines have a global order from the file's path, the block of it and the row in that block. Everything else is
-relational: tags are told from tokens by patterns, positions and depths are running sums, an end tag meets its start
-by a window over one nest of tags. Only where tags don't nest (an end without a start, or of another name) the tag
-events, not the tokens, are replayed one after another.
+Lines have a global order from the file's path, the block of it and the row in that block, and are numbered where they
+are scanned. Everything else is relational: tags are told from tokens by patterns, and end tags meet their starts in
+stretches of the text side by side, then what is left over in longer ones. Text itself is never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trimmed
-from ..operators._numbering import numbered, running_sum, written
+from ..operators._numbering import PLACES, numbered, ranged, running_sums
+from ..operators._shared import written
 from .config import Config
 
 SAME_PLACE = "structure opened multiple times on same position"
@@ -28,23 +31,113 @@ UNTERMINATED = "unterminated structure tags"
 LISTED = 100
 
 
+#: A table of segments with more rows is joined without a broadcast.
+BROADCAST_SEGMENTS = 1_000_000
+_PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
+
+class Lines:
+    """Lines in a global order that is that of file paths, blocks of a file, and rows in a block.
+
+    No line is moved to be numbered: a scan gives the rows of a block one after another, so a row's number is that of
+    the rows scanned before it in its task, less those before its block there, plus those of all earlier blocks. What
+    is counted for each block is a small table, made by one pass. A filter before the counting column counts what
+    passes it, so that tokens and tags get their numbers in the same way. Scans must be split alike each time, so the
+    session's least number of splits is fixed when it isn't set, and a split that isn't found is an error.
+    """
+
+    def __init__(self, rows: DataFrame, line: str | None = None):
+        """``rows``: value, _file, _block (and _size, for text files), straight from a scan; ``line`` names a column with given numbers."""
+        spark = rows.sparkSession
+        if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+            spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+        self.given = line is not None
+        keyed = rows.withColumn("_segment", F.xxhash64("_file", "_block")).withColumn("_m", F.monotonically_increasing_id())
+        self.rows = keyed.withColumnRenamed(line, "line") if line else keyed
+        if "_size" in rows.columns:
+            self._keep_marks()
+
+    @classmethod
+    def of_files(cls, spark: SparkSession, path: str) -> Lines:
+        """The lines of text files, split at line feeds. Invalid UTF-8 is an error; a byte order mark stays, but in compressed files."""
+        raw = spark.read.option("lineSep", "\n").text(path)
+        valid = F.when(F.expr("is_valid_utf8(value)"), F.col("value")).otherwise(F.raise_error(F.lit("invalid UTF-8 in vertical text")).cast("string"))
+        return cls(raw.select(valid.alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size")))
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame, order: list[str], items: Column) -> Lines:
+        """The items of all rows, in the order of the rows, which are put in order and written once, before they become lines."""
+        kept = _scanned(written(ranged(rows, order), "ordered"))
+        return cls(kept.select(F.explode(items).alias("value"), "_file", "_block"))
+
+    @classmethod
+    def of_table(cls, lines: DataFrame) -> Lines:
+        """The rows of (line, value), which are put in order and written once; their numbers stay."""
+        return cls(_scanned(written(ranged(lines.select("line", "value"), ["line"]), "ordered")), "line")
+
+    def _keep_marks(self) -> None:
+        """Puts back byte order marks, which the scan drops: files with one have three bytes more than their lines make up."""
+        sizes = self.rows.groupBy("_file", "_block").agg(F.sum(F.octet_length("value") + 1).alias("n"), F.min("_m").alias("_first"), F.max("_size").alias("size"))
+        sizes = written(sizes, "sizes")
+        packed = F.lit(False)
+        for end in _PACKED:
+            packed = packed | F.col("_file").endswith(end)
+        marked = sizes.where(~packed).groupBy("_file").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.min(F.when(F.col("_block") == 0, F.col("_first"))).alias("_first"))
+        # the last line may have no line feed
+        marked = written(marked.where("n - size IN (-3, -2)").select("_file", "_first"), "marked")
+        many = marked.count()
+        if many > BROADCAST_SEGMENTS:
+            raise ValueError("too many files with a byte order mark")
+        if many:
+            first = F.coalesce((F.col("_block") == 0) & (F.col("_m") == F.col("_first")), F.lit(False))
+            value = F.when(first, F.concat(F.lit("\ufeff"), F.col("value"))).otherwise(F.col("value"))
+            self.rows = self.rows.join(F.broadcast(marked), "_file", "left").withColumn("value", value).drop("_first")
+
+    def segments(self, clean: Column | None = None, token: Column | None = None) -> DataFrame:
+        """_segment, _task; the lines and tokens before it (base_line, base_pos); and of lines, clean lines, tokens and tags those before it in its task."""
+        clean, token = (F.lit(True) if c is None else c for c in (clean, token))
+        count = lambda c: F.sum(c.cast("long"))
+        per = self.rows.groupBy("_segment", "_file", "_block").agg(F.min("_m").alias("first"), F.count("*").alias("lines"), count(clean).alias("clean"), count(clean & token).alias("tokens"))
+        per = per.select("*", F.expr(f"first DIV {PLACES}").alias("_task"), (F.col("clean") - F.col("tokens")).alias("tags"))
+        earlier = W.partitionBy("_task").orderBy("first").rowsBetween(W.unboundedPreceding, -1)
+        per = per.select("_segment", "_file", "_block", "_task", "lines", "tokens", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_off") for c in ("lines", "clean", "tokens", "tags")))
+        per = running_sums(per, ["_file", "_block"], {"base_line": F.col("lines"), "base_pos": F.col("tokens")})
+        return written(per.drop("_file", "_block", "lines", "tokens"), "segments")
+
+    def placed(self, rows: DataFrame, segments: DataFrame, *columns: Column) -> DataFrame:
+        """The columns of rows made of this object's, which may use those of their segment and ``place`` (of one of the counting columns)."""
+        small = F.broadcast(segments) if segments.count() <= BROADCAST_SEGMENTS else segments
+        joined = rows.join(small, "_segment", "left")
+        same = F.when(F.col("_task") == F.expr(f"_m DIV {PLACES}"), F.lit(0)).otherwise(F.raise_error(F.lit("text was split in another way when its lines were counted")).cast("int"))
+        line = F.col("line") if self.given else F.col("base_line") + F.col("_m") % PLACES - F.col("lines_off") + 1
+        return joined.withColumn("line", line + same).select(*columns)
+
+    def numbered(self) -> DataFrame:
+        """line (from 1), value."""
+        return self.placed(self.rows, self.segments(), F.col("line"), F.col("value"))
+
+
+def _scanned(table: DataFrame) -> DataFrame:
+    return table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1), value: the lines of text files, in the order of path and place. Invalid UTF-8 is an error."""
-    raw = spark.read.option("lineSep", "\n").text(path)
-    keyed = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    keyed = keyed.withColumn("value", F.when(F.expr("is_valid_utf8(value)"), F.col("value")).otherwise(F.raise_error(F.lit("invalid UTF-8 in vertical text")).cast("string")))
-    return numbered(keyed, ["_file", "_block", "_row"], "line").select((F.col("line") + 1).alias("line"), "value")
+    """line (from 1), value: the lines of text files, in the order of path and place."""
+    return Lines.of_files(spark, path).numbered()
 
 
-def raw_tokens(lines: DataFrame) -> DataFrame:
+def raw_tokens(lines: Lines) -> DataFrame:
     """pos, value: every line is a token as it stands, but for its line end; tags and blank lines too."""
-    return numbered(lines, ["line"], "pos").select("pos", F.regexp_replace("value", "\\r$", "").alias("value"))
+    return lines.numbered().select((F.col("line") - 1).alias("pos"), F.regexp_replace("value", "\\r$", "").alias("value"))
+
+
+#: Of a trimmed line: whether it is read at all.
+READ = "value != '' AND NOT startswith(value, '#')"
 
 
 def clean(lines: DataFrame) -> DataFrame:
     """Lines without white space at their ends; blank and # lines go."""
-    out = lines.select("line", trimmed(F.col("value")).alias("value"))
-    return out.where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    return lines.select("line", trimmed(F.col("value")).alias("value")).where(READ)
 
 
 _BLANK = "\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -115,29 +208,138 @@ def attributes(tagged: DataFrame) -> DataFrame:
     return out.withColumn("attrs", F.when(F.col("_plain"), F.map_from_entries("_pairs")).otherwise(odd)).drop("_pairs", "_plain")
 
 
-def _replayed(events: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ends with the start they close (start_line), or with what is wrong; and starts that are left open."""
-    stack: list[tuple[str, int]] = []
-    out: list[tuple[int, int | None, str | None]] = []
-    for part in events:
-        for line, kind, name in zip(part["line"], part["kind"], part["name"], strict=True):
-            if kind == "start":
-                stack.append((name, line))
-            elif not stack:
-                out.append((line, None, NOT_OPEN))
-            elif stack[-1][0] != name:
-                out.append((line, None, MISMATCH))
-            else:
-                out.append((line, stack.pop()[1], None))
-    out += [(line, None, UNTERMINATED) for _, line in stack]
-    yield pd.DataFrame({"line": [x[0] for x in out], "start_line": pd.array([x[1] for x in out], "Int64"), "problem": [x[2] for x in out]})
+def _replay(line: list[int], start: list[bool], name: list[int], alone: bool) -> Iterator[tuple[int, int | None, str | None]]:
+    """The events of a stretch one after another: ends with the start that they close or with what is wrong, and what is left open.
 
+    Unless the stretch stands ``alone``, an end that meets no start of the stretch is left open, too, for what came before it.
+    """
+    stack: list[tuple[int, int]] = []
+    for at, opens, own in zip(line, start, name, strict=True):
+        if opens:
+            stack.append((own, at))
+        elif not stack:
+            yield at, None, NOT_OPEN if alone else None
+        elif stack[-1][0] != own:
+            yield at, None, MISMATCH
+        else:
+            yield at, stack.pop()[1], None
+    for _, at in stack:
+        yield at, None, UNTERMINATED if alone else None
+
+
+def _stretch(alone: bool):
+    """line, start_line, problem of the events that a partition settles; those that it can't have neither."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events = pa.Table.from_batches(list(batches), schema=_EVENTS)
+        if not events.num_rows:
+            return
+        line, start = (events.column(i).to_numpy() for i in (0, 1))
+        codes = events.column(2).combine_chunks().dictionary_encode()
+        name = codes.indices.to_numpy(zero_copy_only=False)
+        depth = np.cumsum(np.where(start, 1, -1))
+        # on the level of an end stands right before it the start that it closes, if names agree everywhere
+        level = np.where(start, depth, depth + 1)
+        order = np.argsort(level, kind="stable")
+        one, two = order[:-1], order[1:]
+        pair = (level[one] == level[two]) & start[one] & ~start[two]
+        if (name[one] == name[two])[pair].all():
+            closer, opener = two[pair], one[pair]
+            rest = np.ones(len(line), np.bool_)
+            rest[closer] = rest[opener] = False
+            out = [pa.array(np.r_[line[closer], line[rest]]), pa.array(np.r_[line[opener], line[rest]], mask=np.r_[np.zeros(len(closer), np.bool_), np.ones(int(rest.sum()), np.bool_)])]
+            said = np.where(start[rest], UNTERMINATED, NOT_OPEN) if alone else np.full(int(rest.sum()), None)
+            problem = pa.array([*[None] * len(closer), *said.tolist()], pa.string())
+        else:
+            rows = list(_replay(line.tolist(), start.tolist(), name.tolist(), alone))
+            out = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)]
+            problem = pa.array([r[2] for r in rows], pa.string())
+        yield pa.RecordBatch.from_arrays([*out, problem], ["line", "start_line", "problem"])
 
-class Parsed:
-    """What a vertical text holds: tokens, structures by name, diagnostics."""
+    return run
 
-    def __init__(self, tokens: DataFrame, ranges: DataFrame, problems: DataFrame, config: Config):
-        self.tokens, self._ranges, self.problems, self.config = tokens, ranges, problems, config
+
+_EVENTS = pa.schema([("line", pa.int64()), ("opens", pa.bool_()), ("name", pa.string())])
+#: Events that one task settles; more are settled in stretches first, and what is left over in longer ones.
+SETTLED_AT_ONCE = 1_000_000
+
+
+def matched(events: DataFrame, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
+    """line, start_line, problem of end tags, and of starts that stay open, for events (line, opens, name).
+
+    Stretches of the text settle what opens and closes within them, side by side. What is left over are starts and
+    ends of stretches that hold no more than a part of them; removing the others doesn't change what these meet. They
+    are settled in the same way in longer stretches, and at last in one.
+    """
+    spark, done = events.sparkSession, []
+    parts, left = int(spark.conf.get("spark.sql.shuffle.partitions")), events.select("line", "opens", "name")
+    parts = 1 if left.count() <= at_once else parts
+    while True:
+        alone = parts == 1
+        placed = left.repartition(1).sortWithinPartitions("line") if alone else left.repartitionByRange(parts, "line").sortWithinPartitions("line")
+        out = written(placed.mapInArrow(_stretch(alone), "line long, start_line long, problem string"), "stretches")
+        if alone:
+            break
+        open_ = out.where("start_line IS NULL AND problem IS NULL")
+        done.append(out.where("start_line IS NOT NULL OR problem IS NOT NULL"))
+        left = written(left.join(open_.select("line"), "line", "left_semi"), "left")
+        parts = 1 if left.count() <= at_once else max(1, parts // 16)
+    for x in done:
+        out = out.unionByName(x)
+    return out
+
+
+class Parsed:
+    """What a vertical text holds: tokens, structures by name, diagnostics. Each is worked out when it is first asked for."""
+
+    def __init__(self, lines: Lines, config: Config):
+        self.lines, self.config = lines, config
+
+    @cached_property
+    def _tagged(self) -> DataFrame:
+        """The lines, trimmed, with kind, name and rest, and whether they are tags of declared structures."""
+        known = list(self.config.structures())
+        rows = self.lines.rows.withColumn("value", trimmed(F.col("value")))
+        return tags(rows).withColumn("tag", F.coalesce(F.col("kind").isNotNull() & F.col("name").isin(known), F.lit(False)) if known else F.lit(False))
+
+    @cached_property
+    def _segments(self) -> DataFrame:
+        counted = Lines.__new__(Lines)
+        counted.rows, counted.given = self._tagged, self.lines.given
+        return counted.segments(F.expr(READ), ~F.col("tag"))
+
+    @property
+    def tokens(self) -> DataFrame:
+        """pos, line and the attributes."""
+        fields = F.split("value", "\t", -1)
+        rows = self._tagged.where(READ).where("NOT tag").withColumn("_k", F.monotonically_increasing_id())
+        pos = F.col("base_pos") + F.col("_k") % PLACES - F.col("tokens_off")
+        columns = [F.coalesce(F.get(fields, F.lit(i)), F.lit(d)).alias(a) for i, (a, d) in enumerate(self.config.positional())]
+        return self.lines.placed(rows, self._segments, pos.alias("pos"), F.col("line"), *columns)
+
+    @cached_property
+    def _marks(self) -> DataFrame:
+        """line, kind, name, pos and attrs of the tags; pos is that of the next token."""
+        rows = self._tagged.where(READ).withColumn("_c", F.monotonically_increasing_id()).where("tag").withColumn("_r", F.monotonically_increasing_id())
+        pos = F.col("base_pos") + (F.col("_c") % PLACES - F.col("clean_off")) - (F.col("_r") % PLACES - F.col("tags_off"))
+        rows = self.lines.placed(rows, self._segments, F.col("line"), F.col("kind"), F.col("name"), pos.alias("pos"), F.col("rest"))
+        return written(attributes(rows).drop("rest"), "marks")
+
+    @cached_property
+    def _ends(self) -> DataFrame:
+        return matched(self._marks.where("kind != 'empty'").select("line", (F.col("kind") == "start").alias("opens"), "name"))
+
+    @cached_property
+    def _ranges(self) -> DataFrame:
+        marks = self._marks
+        starts = marks.where("kind = 'start'").select(F.col("line").alias("start_line"), F.col("pos").alias("beg"), "attrs")
+        closes = marks.where("kind = 'end'").select("line", "name", F.col("pos").alias("end"))
+        ranges = self._ends.where("start_line IS NOT NULL").join(closes, "line").join(starts, "start_line").select("name", "beg", "end", F.lit(0).alias("late"), "line", "attrs")
+        # an empty one stands if it is the last start of its name at the position
+        last = marks.where("kind != 'end'").groupBy("name", "pos").agg(F.max("line").alias("line"))
+        empty = marks.where("kind = 'empty'").join(last, ["name", "pos", "line"])
+        ranges = ranges.unionByName(empty.select("name", F.col("pos").alias("beg"), F.col("pos").alias("end"), F.lit(1).alias("late"), "line", "attrs"))
+        return numbered(ranges, ["end", "late", "line"], "num", by=["name"])
 
     def structure(self, name: str) -> DataFrame:
         """num, beg, end and the structure's attributes."""
@@ -148,62 +350,33 @@ class Parsed:
         """name, num, beg, end of all structures."""
         return self._ranges.select("name", "num", "beg", "end")
 
+    @property
+    def problems(self) -> DataFrame:
+        """kind, line, name, n."""
+        marks, one = self._marks, F.lit(1).cast("long").alias("n")
+        opened = marks.where("kind != 'end'").select("name", "pos", "line")
+        again = opened.join(opened.groupBy("name", "pos").agg(F.min("line").alias("first")), ["name", "pos"]).where("line > first")
+        wrong = self._ends.where(F.col("problem").isin(NOT_OPEN, MISMATCH)).join(marks.select("line", "name"), "line").select(F.col("problem").alias("kind"), "line", "name", one)
+        left = self._ends.where(F.col("problem") == UNTERMINATED).agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n > 0")
+        problems = again.select(F.lit(SAME_PLACE).alias("kind"), "line", "name", one).unionByName(wrong)
+        # one message for all that are left open
+        return problems.unionByName(left.select(F.lit(UNTERMINATED).alias("kind"), "line", F.lit(None).cast("string").alias("name"), one))
+
     def summary(self) -> DataFrame:
         """kind, n: how many problems of each kind there are."""
         return self.problems.groupBy("kind").agg(F.sum("n").alias("n"))
 
     def messages(self) -> DataFrame:
-        """kind, line, message: the first of each kind."""
+        """kind, line, message: the first of each kind. Tasks keep as many of each before they meet."""
         place = F.row_number().over(W.partitionBy("kind").orderBy("line"))
         return self.problems.withColumn("_k", place).where(F.col("_k") <= LISTED).select("kind", "line", F.concat_ws(" ", "kind", F.concat(F.lit("("), "name", F.lit(")"))).alias("message"))
 
 
-def matched(events: DataFrame) -> DataFrame:
-    """line, start_line, problem of end tags, and of starts that stay open, for events (line, kind start or end, name)."""
-    delta = F.when(F.col("kind") == "start", 1).otherwise(-1)
-    deep = running_sum(events, ["line"], delta, "before").withColumn("depth", F.when(F.col("kind") == "start", F.col("before") + 1).otherwise(F.col("before")))
-    # a nest begins where nothing is open
-    nest = running_sum(deep, ["line"], F.when((F.col("kind") == "start") & (F.col("before") == 0), 1).otherwise(0), "nests")
-    nest = nest.withColumn("nest", F.col("nests") + F.when((F.col("kind") == "start") & (F.col("before") == 0), 1).otherwise(0))
-    level = W.partitionBy("nest", "depth").orderBy("line")
-    pairs = nest.select("line", "kind", "name", "depth", *(F.lag(c).over(level).alias(f"p_{c}") for c in ("line", "kind", "name")))
-    pairs = written(pairs.select("line", "kind", "name", "p_line", ((F.col("kind") == "end") & ~F.coalesce((F.col("p_kind") == "start") & (F.col("p_name") == F.col("name")), F.lit(False))).alias("bad")), "pairs")
-    if pairs.where("bad").isEmpty():
-        ends = pairs.where("kind = 'end'").select("line", F.col("p_line").alias("start_line"), F.lit(None).cast("string").alias("problem"))
-        open_ = pairs.where("kind = 'start'").join(ends.select(F.col("start_line").alias("line")), "line", "left_anti")
-        return ends.unionByName(open_.select("line", F.lit(None).cast("long").alias("start_line"), F.lit(UNTERMINATED).alias("problem")))
-    ordered = events.select("line", "kind", "name").repartition(1).sortWithinPartitions("line")
-    return ordered.mapInPandas(_replayed, "line long, start_line long, problem string")
-
-
-def parse(lines: DataFrame, config: Config) -> Parsed:
-    """Tokens, structures and problems of a vertical text (line, value).
+def parse(lines: Lines | DataFrame, config: Config) -> Parsed:
+    """Tokens, structures and problems of a vertical text, given as Lines or as a table (line, value).
 
     A tag whose name isn't a declared structure is a token. Ranges are numbered by name in the order they are written:
     a range at its end tag, an empty one when the next token comes or the text ends. Of several empty ones at a
     position the last stands, if no start of that name follows at the position.
     """
-    known = list(config.structures())
-    rows = tags(clean(lines)).withColumn("tag", F.coalesce(F.col("kind").isNotNull() & F.col("name").isin(known), F.lit(False)) if known else F.lit(False))
-    rows = written(running_sum(rows, ["line"], F.when(~F.col("tag"), 1).otherwise(0), "pos"), "rows")
-    fields = F.split("value", "\t", -1)
-    tokens = rows.where(~F.col("tag")).select("pos", "line", *(F.coalesce(F.get(fields, F.lit(i)), F.lit(d)).alias(a) for i, (a, d) in enumerate(config.positional())))
-    marks = written(attributes(rows.where("tag").select("line", "kind", "name", "pos", "rest")).drop("rest"), "marks")
-    ends = matched(marks.where("kind != 'empty'").select("line", "kind", "name"))
-    ends = written(ends, "ends")
-    starts = marks.where("kind = 'start'").select(F.col("line").alias("start_line"), F.col("pos").alias("beg"), "attrs")
-    closes = marks.where("kind = 'end'").select("line", "name", F.col("pos").alias("end"))
-    ranges = ends.where("problem IS NULL").join(closes, "line").join(starts, "start_line").select("name", "beg", "end", F.lit(0).alias("late"), "line", "attrs")
-    # an empty one stands if it is the last start of its name at the position
-    last = marks.where("kind != 'end'").groupBy("name", "pos").agg(F.max("line").alias("line"), F.count("*").alias("starts"))
-    empty = marks.where("kind = 'empty'").join(last.select("name", "pos", "line"), ["name", "pos", "line"])
-    ranges = ranges.unionByName(empty.select("name", F.col("pos").alias("beg"), F.col("pos").alias("end"), F.lit(1).alias("late"), "line", "attrs"))
-    ranges = numbered(ranges, ["end", "late", "line"], "num", by=["name"])
-    again = marks.where("kind != 'end'").withColumn("k", F.row_number().over(W.partitionBy("name", "pos").orderBy("line"))).where("k > 1")
-    names = marks.select("line", "name")
-    wrong = ends.where(F.col("problem").isin(NOT_OPEN, MISMATCH)).join(names, "line").select(F.col("problem").alias("kind"), "line", "name", F.lit(1).cast("long").alias("n"))
-    left = ends.where(F.col("problem") == UNTERMINATED).agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n > 0")
-    problems = again.select(F.lit(SAME_PLACE).alias("kind"), "line", "name", F.lit(1).cast("long").alias("n")).unionByName(wrong)
-    # one message for all that are left open
-    problems = problems.unionByName(left.select(F.lit(UNTERMINATED).alias("kind"), "line", F.lit(None).cast("string").alias("name"), F.lit(1).cast("long").alias("n")))
-    return Parsed(tokens, ranges, problems, config)
+    return Parsed(lines if isinstance(lines, Lines) else Lines.of_table(lines), config)

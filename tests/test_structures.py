@@ -34,16 +34,16 @@ def closed_num(ranges, p):
 
 def test_closed_forms(spark):
     rng = random.Random(3)
-    for bucket in (4, 1 << 16):
+    for _ in range(2):
         cuts = sorted(rng.choices(range(30), k=14))
         ranges = list(zip(cuts[::2], cuts[1::2], strict=True))
         pos, own = frames(spark, ranges, range(32))
         own = own.cache()
-        assert answer(st.next_start(pos, own, True, bucket), "beg") == {p: min((b for b, _ in ranges[:-1] if b >= p), default=None) for p in range(32)}
-        assert answer(st.next_start(pos, own, False, bucket), "beg") == {p: min((b for b, _ in ranges if b >= p), default=None) for p in range(32)}
-        assert answer(st.by_end(pos, own, True, bucket), "num", "beg") == {p: closed_end(ranges, p) for p in range(32)}
-        assert answer(st.by_end(pos, own, False, bucket), "num", "beg") == {p: closed_end([*ranges, (99, 99)], p) for p in range(32)}
-        assert answer(st.number_at(pos, own, True, bucket), "num") == {p: closed_num(ranges, p) for p in range(32)}
+        assert answer(st.next_start(pos, own, True), "beg") == {p: min((b for b, _ in ranges[:-1] if b >= p), default=None) for p in range(32)}
+        assert answer(st.next_start(pos, own), "beg") == {p: min((b for b, _ in ranges if b >= p), default=None) for p in range(32)}
+        assert answer(st.by_end(pos, own, True), "num", "beg") == {p: closed_end(ranges, p) for p in range(32)}
+        assert answer(st.by_end(pos, own), "num", "beg") == {p: closed_end([*ranges, (99, 99)], p) for p in range(32)}
+        assert answer(st.number_at(pos, own, True), "num") == {p: closed_num(ranges, p) for p in range(32)}
 
 
 def test_containing(spark):
@@ -54,7 +54,7 @@ def test_containing(spark):
         pos, own = frames(spark, ranges, range(70))
         want = {p: min(((e - b, -i) for i, (b, e) in enumerate(ranges) if b <= p < e), default=None) for p in range(70)}
         assert st.disjoint(own) != nested
-        assert answer(st.number_at(pos, own, bucket=8), "num") == {p: None if x is None else -x[1] for p, x in want.items()}
+        assert answer(st.number_at(pos, own), "num") == {p: None if x is None else -x[1] for p, x in want.items()}
 
 
 def test_none(spark):
@@ -67,6 +67,27 @@ def test_none(spark):
     assert answer(st.number_at(pos, own, True), "num") == {0: None}
 
 
+def test_gaps(spark):
+    """Also for an id whose list runs over several partitions."""
+    rng = random.Random(8)
+    rows = [(0 if rng.random() < 0.7 else rng.randint(1, 5), p) for p in range(300)]
+    want, before = [], {}
+    for i, p in rows:
+        want.append((i, p, p - before.get(i, -1)))
+        before[i] = p
+    got = lx.gaps(spark.createDataFrame(rows, "id long, pos long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    back = lx.from_gaps(got.withColumnRenamed("pos", "ord"))
+    assert all(r["ord"] == r["pos"] for r in back.collect()) and back.count() == 300
+    assert lx.gaps(spark.createDataFrame([], "id long, pos long")).collect() == []
+
+
+def test_no_window_over_all_rows(spark):
+    pos, own = frames(spark, [(0, 2), (3, 5)], range(9))
+    for df in (st.next_start(pos, own), st.by_end(pos, own), st.number_at(pos, own), lx.gaps(own.select(F.col("num").alias("id"), F.col("beg").alias("pos"))), lx.lexicon(pos.select("pos", F.lit("x").alias("value")))):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_codes(spark):
     rows = spark.createDataFrame([(c,) for c in (1, 2, 3, 4, 5)], "c long").select(collocate_offset(F.col("c")).alias("o")).collect()
     assert [r["o"] for r in rows] == [None, 1, -1, 2, -2]

@@ -17,9 +17,8 @@ def tokens(spark, lines, conf=TWO):
     return [tuple(r) for r in out]
 
 
-def ranges(spark, lines, name="s"):
-    rows = parsed(spark, lines).structure(name).orderBy("num").collect()
-    return [(r["num"], r["beg"], r["end"]) for r in rows]
+def ranges(got, name="s"):
+    return [(r["num"], r["beg"], r["end"]) for r in got.structure(name).orderBy("num").collect()]
 
 
 @pytest.mark.parametrize(
@@ -50,8 +49,9 @@ def test_inner_empty_column(spark):
     ],
 )
 def test_ranges(spark, lines, s, p):
-    assert ranges(spark, lines) == s
-    assert ranges(spark, lines, "p") == p
+    got = parsed(spark, lines)
+    assert ranges(got) == s
+    assert ranges(got, "p") == p
 
 
 def test_last_empty_one_stands(spark):
@@ -102,6 +102,64 @@ def test_random_tags(spark):
             assert [(r["beg"], r["end"]) for r in rows] == want[name], events
 
 
+def stack(events):
+    """A direct restatement of the rules for ends: (line, start_line, problem)."""
+    open_, out = [], []
+    for line, opens, name in events:
+        if opens:
+            open_.append((line, name))
+        elif open_ and open_[-1][1] == name:
+            out.append((line, open_.pop()[0], None))
+        else:
+            out.append((line, None, vertical.MISMATCH if open_ else vertical.NOT_OPEN))
+    return sorted(out + [(line, None, vertical.UNTERMINATED) for line, _ in open_])
+
+
+@pytest.mark.parametrize("kind", ["random", "root", "stray", "nested"])
+def test_stretches(spark, kind):
+    """Tags matched in stretches of the text, whose results then meet, are those matched one after another."""
+    import random
+
+    rng = random.Random(kind)
+    doc = lambda: [(True, "doc"), *[(o, "s") for _ in range(rng.randint(0, 5)) for o in (True, False)], (False, "doc")]
+    events = {
+        "random": [(rng.random() < 0.5, rng.choice("sp")) for _ in range(400)],
+        "root": [(True, "root"), *[e for _ in range(80) for e in doc()], (False, "root")],
+        "stray": [e for _ in range(60) for e in [*doc(), (False, "s")]] + [(True, "doc")],
+        "nested": [(True, "ab"[i % 2]) for i in range(150)] + [(False, "ab"[(i + 1) % 2]) for i in range(150)],
+    }[kind]
+    rows = [(i, *e) for i, e in enumerate(events)]
+    got = vertical.matched(spark.createDataFrame(rows, "line long, opens boolean, name string"), at_once=20).collect()
+    assert sorted(tuple(r) for r in got) == stack(rows)
+
+
+def test_no_shuffle_of_text(spark, tmp_path):
+    """Files are numbered, and told into tokens and tags, without their lines going through a shuffle or a window."""
+    (tmp_path / "a.vrt").write_text("".join(f"<s>\nw{i}\tx\n</s>\n" for i in range(200)))
+    got = vertical.parse(vertical.Lines.of_files(spark, str(tmp_path)), config.Config.of(TWO))
+    plan = got.tokens._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and "Window" not in plan and "Sort" not in plan
+    assert got.tokens.count() == 200 and got.structure("s").count() == 200
+
+
+def test_marks_and_splits(spark, tmp_path):
+    """Byte order marks belong to the first token of a file; blocks of a file are numbered in order."""
+    want = []
+    for i, (mark, end) in enumerate([("\ufeff", "\n"), ("", ""), ("\ufeff", ""), ("", "\n")]):
+        lines = [mark + "<s>"] + [f"line {i} {j}" for j in range(300)]
+        (tmp_path / f"{i}.vrt").write_bytes(("\n".join(lines) + end).encode())
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = vertical.read_lines(spark, str(tmp_path)).orderBy("line").collect()
+        got = vertical.parse(vertical.Lines.of_files(spark, str(tmp_path)), config.Config.of(TWO)).tokens.orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["line"], r["value"]) for r in rows] == list(enumerate(want, 1))
+    assert [(r["pos"], r["word"]) for r in got] == list(enumerate(x for x in want if x != "<s>"))
+
+
 def test_problems(spark):
     got = parsed(spark, ["</s>", "<s>", "</p>", "<s>", "a"])
     assert {r["kind"]: r["n"] for r in got.summary().collect()} == {vertical.NOT_OPEN: 1, vertical.MISMATCH: 1, vertical.SAME_PLACE: 1, vertical.UNTERMINATED: 1}
