@@ -3,13 +3,16 @@
 A line is a text between line feeds; its set is that of its lower-cased tokens (see ``_vec``; token identity is a
 48-bit hash, a set's identity over 100 bits). A line is removed if an *earlier* line has a set with Jaccard
 similarity of at least the threshold, whether or not that line is itself removed. Lines are ordered by (doc_id, line
-number); a null doc_id comes last; documents that share a doc_id are ordered by a hash of their text.
+number); a null doc_id comes last (as does 2**63 - 1, which is read alike); documents that share a doc_id are ordered by
+a hash of their text. Ids that aren't integers are numbered in their order first.
 
 Method: count tokens over all lines into a table of fixed size, order each line's tokens by rarity, post the prefix
 of each distinct set, pair postings of a token under length, positional and bitmap filters, and verify on whole sets.
 Equal sets meet by their identity and only their first line is posted. A line needs one match only: of its candidates
 the earliest is verified first, and all others where that one fails. Records travel through a shuffle as column
-blocks, one for each task and bucket; a task holds the blocks of its buckets in memory.
+blocks, one for each task and bucket; a task holds the blocks of its buckets in memory. The whole sets of lines in
+candidate pairs are read from the texts: up to MOST_NAMES lines by a broadcast bitmap of their names that is sized by
+their count, so that few others are read with them, beyond that by joins on names and on documents.
 
 Edge cases: a line without tokens is never removed and never a match. A null text comes out null, an empty one empty.
 Rows equal in doc_id and text are one document to the order and come out alike. A document that loses all lines comes
@@ -24,12 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators._numbering import numbered
 from . import _run, _vec
 from ._vec import U
 
 BUCKETS = 1 << 20
-MARKS = 1 << 24
+#: Lines in candidate pairs up to which a bitmap is broadcast: SPARSE bits for each, 16 MiB at most.
+MOST_NAMES = 1 << 22
+SPARSE = 32
 _GROUP = 1 << 15
 
 ORACLE = """
@@ -154,6 +161,7 @@ def _blocks(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
 
 
 _LINE = "i8 i8 i8 i8 i4 i4"
+_FIRST = "i8 i8 i4 u8 u4"
 _POST = "u8 u8 u4 u4 u4"
 
 
@@ -211,7 +219,7 @@ def _firsts(percent: int):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([0, 1], pa.int32()),
-                pa.array([_blob(_place(doc[h], th[h], line[h]), bits[h], n[h]), _blob(doc[dup], th[dup], line[dup])], pa.binary()),
+                pa.array([_blob(doc[h], th[h], line[h], bits[h], n[h]), _blob(doc[dup], th[dup], line[dup])], pa.binary()),
                 pa.array([_blob(_ragged(values, start[order[h]], keep[order[h]])), b""], pa.binary()),
             ],
             ["kind", "fixed", "prefix"],
@@ -224,7 +232,8 @@ def _posts(percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for fixed, prefix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name, bits, n = _columns([fixed], "u8 u8 u4")
+                doc, th, line, bits, n = _columns([fixed], _FIRST)
+                name = _place(doc, th, line)
                 token, keep = np.frombuffer(prefix, np.uint32), _kept(n.astype(np.int64), percent)
                 rest = np.repeat(n + (np.cumsum(keep) - keep), keep) - np.arange(len(token))
                 out = [(b, _blob(*c)) for b, c in _blocks((token % np.uint32(buckets)).astype(np.int64), np.repeat(name, keep), np.repeat(bits, keep), token, np.repeat(n, keep), rest.astype(np.uint32))]
@@ -271,11 +280,10 @@ def _paired(percent: int, block: int = 1 << 20):
     return run
 
 
-def _wanted(rank, marks):
-    """The whole sets of the lines whose names are marked, with bitmaps of 256 bits."""
+def _chosen(rank, choose):
+    """The whole sets of the lines that ``choose`` tells of (batch, rows, line numbers, names), with bitmaps of 256 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = marks.value
         for batch in batches:
             doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             column = _vec.texts(batch.column(2), lower=True)
@@ -285,8 +293,7 @@ def _wanted(rank, marks):
                 row = np.minimum(np.searchsorted(off, line_off[:-1], "right") - 1, len(off) - 2)
                 line = (np.arange(len(row)) - first_line[row]).astype(np.int32)
                 name = _place(doc[at + row], th[at + row], line)
-                mark = name & U(MARKS - 1)
-                hit = np.flatnonzero(bitmap[(mark >> U(6)).astype(np.int64)] >> (mark & U(63)) & U(1))
+                hit = np.flatnonzero(choose(batch, at + row, line, name))
                 if not len(hit):
                     continue
                 size = line_off[hit + 1] - line_off[hit]
@@ -302,6 +309,28 @@ def _wanted(rank, marks):
     return run
 
 
+def _by_bitmap(marks, bits: int):
+    def choose(batch, row, line, name) -> np.ndarray:
+        mark = name & U(bits - 1)
+        return marks.value[(mark >> U(6)).astype(np.int64)] >> (mark & U(63)) & U(1)
+
+    return choose
+
+
+def _by_list(batch, row, line, name) -> np.ndarray:
+    """The lines whose numbers stand in the fourth column."""
+    lists = batch.column(3)
+    sizes, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    own = (np.repeat(np.arange(len(sizes)), sizes).astype(U) << U(32)) | values.astype(U)
+    return np.isin((row.astype(U) << U(32)) | line.astype(U), own)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, th, line, _, _ = _columns(batch.column(0).to_pylist(), _FIRST)
+        yield pa.RecordBatch.from_arrays([pa.array(_place(doc, th, line).view(np.int64)), pa.array(doc), pa.array(th), pa.array(line)], ["name", "doc", "th", "line"])
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, th, line = _columns(batch.column(0).to_pylist(), "i8 i8 i4")
@@ -320,16 +349,32 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in batch.column(2)], pa.int64()), pa.array(masks, pa.list_(pa.bool_()))], ["doc", "th", "n_gone", "gone"])
 
 
-def _marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the lowest bits of the names; more names only make it less selective."""
-    low = ids.select(F.col("name").bitwiseAND(F.lit(MARKS - 1)).alias("h")).select((F.col("h") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("m"))
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with the lowest bits of the names."""
+    low = ids.select(F.col("name").bitwiseAND(F.lit(bits - 1)).alias("h")).select(F.expr("shiftright(h, 6)").cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("m"))
     found = low.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bitmap = np.zeros(MARKS // 64, U)
+    bitmap = np.zeros(bits // 64, U)
     bitmap[found["w"].to_numpy()] = found["m"].to_numpy().view(U)
     return bitmap
 
 
-def _gone(base: DataFrame, percent: int) -> DataFrame:
+def _whole(base: DataFrame, sets: DataFrame, pairs: DataFrame, rank, most: int) -> DataFrame:
+    """The whole sets of the lines in pairs, and maybe of some others; each name once."""
+    names = _run.materialise(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "names")
+    n, schema = names.count(), "name long, n int, doc long, th long, line int, w0 long, w1 long, w2 long, w3 long, tokens array<long>"
+    if n <= most:
+        bits = 1 << max(16, (SPARSE * n - 1).bit_length())
+        marks = base.sparkSession.sparkContext.broadcast(_marked(names, bits))
+        out = base.mapInArrow(_chosen(rank, _by_bitmap(marks, bits)), schema)
+    else:
+        firsts = sets.where("kind = 0").select("fixed").mapInArrow(_named, "name long, doc long, th long, line int")
+        lists = firsts.join(names, "name", "left_semi").groupBy("doc", "th").agg(F.collect_list("line").alias("lines"))
+        out = base.join(lists, ["doc", "th"]).select("doc", "th", "text", "lines").mapInArrow(_chosen(rank, _by_list), schema)
+    # rows equal in doc_id and text have lines of the same names
+    return _run.materialise(out.dropDuplicates(["name"]), "whole")
+
+
+def _gone(base: DataFrame, percent: int, most: int) -> DataFrame:
     """doc, th, n_gone and a mask of the lines to remove, for each document that has any."""
     spark, p = base.sparkSession, percent
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -339,9 +384,7 @@ def _gone(base: DataFrame, percent: int) -> DataFrame:
     sets = _run.materialise(blocks.mapInArrow(_firsts(p), "kind int, fixed binary, prefix binary"), "sets")
     posts = sets.where("kind = 0").select("fixed", "prefix").mapInArrow(_posts(p, buckets), "bucket int, block binary").repartition("bucket")
     pairs = _run.materialise(posts.mapInArrow(_paired(p), "a long, b long").distinct(), "pairs")
-    marks = spark.sparkContext.broadcast(_marked(pairs.select(F.explode(F.array("a", "b")).alias("name"))))
-    whole = base.mapInArrow(_wanted(rank, marks), "name long, n int, doc long, th long, line int, w0 long, w1 long, w2 long, w3 long, tokens array<long>")
-    whole = _run.materialise(whole, "whole")
+    whole = _whole(base, sets, pairs, rank, most)
 
     def side(x: str, *columns: str) -> DataFrame:
         place = F.struct("doc", "th", "line").alias("place")
@@ -363,24 +406,28 @@ def _gone(base: DataFrame, percent: int) -> DataFrame:
     bad = found.union(verified(more)).select("late.*")
     other = sets.where("kind = 1").select("fixed").mapInArrow(_places, "doc long, th long, line int")
     gone = other.union(bad).groupBy("doc", "th").agg(F.collect_set("line").alias("lines"))
-    return _run.materialise(gone.mapInArrow(_masks, "doc long, th long, n_gone long, gone array<boolean>"), "gone")
+    gone = _run.materialise(gone.mapInArrow(_masks, "doc long, th long, n_gone long, gone array<boolean>"), "gone")
+    _run.drop(sets, pairs, whole, near, found)
+    return gone
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, most: int = MOST_NAMES) -> DataFrame:
     """The documents with later matching lines removed: doc_id, text, n_removed, and their other columns in a struct, rest.
 
-    ``percent``: least Jaccard similarity of a match, in percent.
+    ``percent``: least Jaccard similarity of a match, in percent. ``most``: lines in candidate pairs up to which a bitmap is broadcast.
     """
-    id_type = dict(docs.dtypes)["doc_id"]
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"),
-        F.col("doc_id").isNull().alias("no_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"),
-    )
-    out = base.join(_gone(base, percent), ["doc", "th"], "left")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    if isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        rows = rows.withColumn("doc", F.col("doc_id").cast("long"))
+    else:
+        ids = numbered(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), ["doc_id"], "doc")
+        rows = rows.join(ids, "doc_id", "left")
+    base = rows.withColumn("doc", F.coalesce("doc", F.lit(2**63 - 1))).withColumn("th", F.xxhash64("text"))
+    out = base.join(_gone(base, percent, most), ["doc", "th"], "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
     return out.select(
-        F.when(~F.col("no_id"), F.col("doc")).cast(id_type).alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"), "rest",
     )
 
