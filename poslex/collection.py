@@ -10,16 +10,15 @@ For attributes of structures ``pos`` is the number of the structure.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .operators import lexicon as lx
 from .operators import structures as st
 from .operators.sketch import Sketch
-from .sources import vertical
+from .sources import compiled, vertical
 from .sources.config import AttributeNotFound, Config
 
 
@@ -160,24 +159,18 @@ class Collection:
         _write(values.select("id", F.col("freq").cast("long").alias("freq")), f"{self.config.path}{name}.{kind}")
 
     def sketch(self) -> Sketch:
-        """The word sketches at WSBASE; the lexicon of extra collocates may be missing."""
+        """The word sketches at WSBASE. Their table of extra collocates may be empty, but must be there."""
         base = self.config.get("WSBASE")
         read = self.spark.read.parquet
-        try:
-            extra = read(f"{base}.coll")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            extra = None
-        return Sketch(read(f"{base}.entries"), read(f"{base}.pos"), self.attribute(self.config.get("WSATTR")).lex, read(f"{base}.rel"), extra)
+        extra = read(f"{base}.coll")
+        return Sketch(read(f"{base}.entries"), read(f"{base}.pos"), self.attribute(self.config.get("WSATTR")).lex, read(f"{base}.rel"), None if extra.isEmpty() else extra)
 
     def write_sketch(self, sketch: Sketch) -> None:
         base = self.config.get("WSBASE")
         _write(sketch.entries.repartitionByRange("head_id").sortWithinPartitions("head_id", "rel_id", "ord"), f"{base}.entries")
         _write(sketch.occurrences.repartitionByRange("head_id").sortWithinPartitions("head_id", "rel_id", "coll_id", "pos"), f"{base}.pos")
         _write(sketch.relations, f"{base}.rel")
-        if sketch.extra is not None:
-            _write(sketch.extra, f"{base}.coll")
+        _write(sketch.relations.where("false") if sketch.extra is None else sketch.extra, f"{base}.coll")
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -218,3 +211,44 @@ def build(spark: SparkSession, config: Config, text: str | DataFrame) -> Collect
     for name in [n for n, _ in config.positional()] + [f"{s}.{a}" for s, own in config.structures().items() for a, _ in own]:
         index(out, name)
     return out
+
+
+def convert(spark: SparkSession, config: Config, path: str, frequencies: tuple[str, ...] = ("docf", "arf", "aldf")) -> Collection:
+    """Makes a collection in the folder ``path`` of the compiled files that the configuration names.
+
+    Lexicons, ids, ranges, derived attributes, external frequencies of the kinds given and word sketches are read from
+    the files; inverted indexes are made anew.
+    """
+    source, out = config.path, Collection(spark, replace(config, path=path.rstrip("/") + "/"))
+    target = out.config.path
+
+    def column(name: str, kind: str) -> None:
+        ids, lex = compiled.attribute(spark, source + name, kind)
+        _write(ids.repartitionByRange("pos").sortWithinPartitions("pos"), f"{target}{name}.text")
+        _write(lex, f"{target}{name}.lex")
+        index(out, name)
+        for ext in frequencies:
+            if compiled.exists(f"{source}{name}.{ext}"):
+                _write(compiled.frequencies(spark, f"{source}{name}.{ext}"), f"{target}{name}.{ext}")
+
+    for name in config.tree.attributes:
+        if config.source_of(name) is None:
+            column(name, config.reader(name))
+        else:
+            _write(compiled.lexicon(spark, source + name).select("id", "value"), f"{target}{name}.lex")
+            _write(compiled.mapping(spark, source + name), f"{target}{name}.map")
+    for name, attributes in config.structures().items():
+        _write(compiled.ranges(spark, source + name, config.wide(name)), f"{target}{name}.rng")
+        for a, _ in attributes:
+            if config.source_of(f"{name}.{a}") is None:
+                # attributes of structures are stored as plain numbers, whatever their type says
+                column(f"{name}.{a}", "int")
+    base = config.get("WSBASE")
+    if compiled.exists(f"{base}.map0.com"):
+        entries, places = compiled.sketch(spark, base)
+        words = lambda x: compiled.lexicon(spark, x).select("id", "value")
+        extra = words(f"{base}.coll") if compiled.size(f"{base}.coll.lex") else None
+        own = replace(out.config, tree=replace(config.tree, values={**config.tree.values, "WSBASE": f"{target}{config.get('WSATTR')}-ws"}))
+        out = Collection(spark, own)
+        out.write_sketch(Sketch(entries, places, out.attribute(config.get("WSATTR")).lex, words(base), extra))
+    return out

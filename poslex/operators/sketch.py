@@ -1,6 +1,6 @@
 """Word sketches: head, relation, collocate, occurrence, as four flat tables.
 
-sketch(head_id, rel_id, coll_id, ord, cnt, rnk, lcm), sketch_pos(head_id, rel_id, coll_id, pos, coll_off), and the
+sketch(head_id, rel_id, coll_id, ord, cnt, rnk, lcm, and rel_ord if relations have an order of their own), sketch_pos(head_id, rel_id, coll_id, pos, coll_off), and the
 lexicons of relations and of collocates outside the attribute's own lexicon. ``ord`` keeps the stored order.
 """
 
@@ -47,12 +47,28 @@ class Sketch:
         rels = self.relations.select(F.col("id").alias("rel_id"), F.col("value").alias("rel"))
         return rows.join(rels, "rel_id").join(heads, "head_id").join(self.collocates(), "coll_id")
 
-    def dump(self, head: str | None = None) -> DataFrame:
-        """head, rel, coll, cnt, rnk, lcm, in stored order for one head or all. An unknown head gives no rows."""
+    def _dumped(self, head: str | None) -> tuple[DataFrame, list[str]]:
+        """The named entries of one head or all, and what they are ordered by."""
         rows = self.entries
         if head is not None:
             rows = rows.join(F.broadcast(self.words.where(F.col("value") == head).select(F.col("id").alias("head_id"))), "head_id", "left_semi")
-        return self.named(rows).select("head_id", "rel_id", "ord", "head", "rel", "coll", "cnt", "rnk", "lcm").orderBy("head_id", "rel_id", "ord")
+        return self.named(rows), ["head_id", "rel_ord" if "rel_ord" in rows.columns else "rel_id", "ord"]
+
+    def dump(self, head: str | None = None) -> DataFrame:
+        """head, rel, coll, cnt, rnk, lcm, in stored order for one head or all. An unknown head gives no rows."""
+        rows, order = self._dumped(head)
+        return rows.orderBy(*order).select("head_id", "rel_id", "ord", "head", "rel", "coll", "cnt", "rnk", "lcm")
+
+    def table(self, head: str | None = None) -> DataFrame:
+        """head, rel, coll, cnt, rnk, lcm of one head or all, lcm as its words, in stored order."""
+        rows, order = self._dumped(head)
+        rows = rows.join(self.matches_text(), ["head_id", "rel_id", "coll_id"])
+        return rows.orderBy(*order).select("head", "rel", "coll", "cnt", "rnk", F.col("lcm_text").alias("lcm"))
+
+    def write_tsv(self, path: str, head: str | None = None) -> None:
+        """The table as tab-separated text, in order over the files."""
+        rows = self.table(head)
+        rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
     def positions(self, head_id: int | None = None) -> DataFrame:
         """head_id, rel_id, coll_id, pos, coll_off."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import adjusted_scale, collocate_offset, score
 from ..operators import lexicon as lx
 from ..operators import structures as st
-from ..operators._shared import written
+from ..operators._shared import new_path, written
 from ..operators.sketch import Sketch, neighbours
 from ..sources import config, tables, vertical
 
@@ -158,7 +158,7 @@ def text_size(spark, d):
     return lx.size(tables.doc_tokens(spark, d))
 
 
-@_query()
+@_query(_sql("ids", "SELECT bit_xor(('0x' || substr(md5(pos::VARCHAR || ':' || id::VARCHAR), 1, 15))::BIGINT) AS fingerprint FROM ids"))
 def text_fingerprint(spark, d):
     return lx.fingerprint(_docs(spark, d)[0])
 
@@ -179,6 +179,11 @@ def rev_gaps(spark, d):
     return lx.gaps(_docs(spark, d)[0])
 
 
+@_query(_sql("ids", "SELECT id, pos AS ord, pos FROM ids"))
+def rev_from_gaps(spark, d):
+    return lx.from_gaps(lx.gaps(_docs(spark, d)[0]).withColumnRenamed("pos", "ord"))
+
+
 @_query(_sql("docs", "SELECT dense_rank() OVER (ORDER BY f) - 1 AS id, num AS pos FROM (SELECT num, min(num) OVER (PARTITION BY source) AS f FROM docs)"))
 def rev_struct_attr(spark, d):
     column = tables.doc_ranges(spark, d).select(F.col("num").alias("pos"), F.col("source").alias("value"))
@@ -335,6 +340,14 @@ def vertical_tokens(spark, d):
     return _parsed(spark, d).tokens.select("pos", "word", "lc")
 
 
+@_query(_sql("vtok", "SELECT pos, word, lower(word) AS lc FROM vtok"))
+def vertical_file_tokens(spark, d):
+    """The vertical text is written to text files, and read from these."""
+    path, lines = new_path(spark, "vertical"), tables.doc_lines(spark, d).numbered()
+    lines.repartitionByRange("line").sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
+    return vertical.parse(vertical.Lines.of_files(spark, path), config.Config.of(DOC_CONFIG)).tokens.select("pos", "word", "lc")
+
+
 @_query(_sql("vtok", "SELECT pos, '===NONE===' AS tag, '-' AS note FROM vtok"))
 def vertical_defaults(spark, d):
     return _parsed(spark, d).tokens.select("pos", "tag", "note")
@@ -384,6 +397,21 @@ def diagnostics_summary(spark, d):
     return vertical.parse(tables.talk_lines(spark, d, broken=True), config.Config.of(TALK_CONFIG)).summary()
 
 
+@_query(
+    _sql(
+        "tw",
+        f""", c AS (SELECT conv_id, 4 + sum(2 + len(ws)) AS n FROM tw GROUP BY conv_id),
+b AS (SELECT coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base, row_number() OVER (ORDER BY conv_id) AS k FROM c)
+SELECT '{vertical.NOT_OPEN}' AS kind, base + 1 AS line, '{vertical.NOT_OPEN} (turn)' AS message FROM b WHERE k <= {vertical.LISTED}
+UNION ALL SELECT '{vertical.MISMATCH}', base + 3, '{vertical.MISMATCH} (turn)' FROM b WHERE k <= {vertical.LISTED}
+UNION ALL SELECT '{vertical.UNTERMINATED}', (SELECT sum(n)::BIGINT + 1 FROM c), '{vertical.UNTERMINATED}'""",
+    )
+)
+def diagnostics_messages(spark, d):
+    got = vertical.parse(tables.talk_lines(spark, d, broken=True), config.Config.of(TALK_CONFIG)).messages()
+    return got.where(F.col("kind") != vertical.SAME_PLACE)
+
+
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _TAGS = f"""
 WITH p AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '[\\r\\n]+', ' ', 'g'), '<[^<>]*>|[^<>]+') AS x FROM pages),
@@ -418,9 +446,9 @@ def tag_attrs(spark, d):
     return vertical.attributes(tagged).select("line", F.explode("attrs").alias("key", "value"))
 
 
-@_query()
+@_query("SELECT * FROM (VALUES ('DEFAULTATTR', 'word'), ('WSATTR', 'lemma'), ('WSBASE', '/data/demo/lemma-ws'), ('SEGMENTSIZE', '128')) AS t(key, value)")
 def conf_defaults(spark, d):
-    c = config.Config.of(DOC_CONFIG)
+    c = config.Config.of('PATH "/data/demo"\nATTRIBUTE word\nATTRIBUTE lemma\nSEGMENTSIZE many\n')
     keys = ("DEFAULTATTR", "WSATTR", "WSBASE", "SEGMENTSIZE")
     return spark.createDataFrame([(k, str(c.segment_size()) if k == "SEGMENTSIZE" else c.get(k)) for k in keys], "key string, value string")
 
@@ -436,17 +464,26 @@ def _sketch(spark: SparkSession, d: str) -> Sketch:
     return Sketch(sketch.entries.withColumn("rnk", F.round("rnk", 4)), sketch.occurrences, lex, relations, extra)
 
 
-_NAMED = "SELECT head_id, rel_id, ord, h.value AS head, rel, c.value AS coll, cnt, rnk FROM ent JOIN rel USING (rel_id) JOIN tlex h ON h.id = head_id JOIN tlex c ON c.id = coll_id"
+_NAMED = "SELECT head_id, rel_id, ord, h.value AS head, rel, c.value AS coll, cnt, rnk, CASE rel_id WHEN 0 THEN head_id || ' ' || coll_id ELSE coll_id || ' ' || head_id END || ' -1' AS lcm FROM ent JOIN rel USING (rel_id) JOIN tlex h ON h.id = head_id JOIN tlex c ON c.id = coll_id"
+
+
+def _flat(dump: DataFrame) -> DataFrame:
+    return dump.withColumn("lcm", F.array_join(F.col("lcm").cast("array<string>"), " "))
 
 
 @_query(_sql("ent rel tlex", _NAMED))
 def ws_dump_all(spark, d):
-    return _sketch(spark, d).dump().drop("lcm")
+    return _flat(_sketch(spark, d).dump())
 
 
 @_query(_sql("ent rel tlex", f"{_NAMED} WHERE h.value = '{WORD}'"))
 def ws_head_lookup(spark, d):
-    return _sketch(spark, d).dump(WORD).drop("lcm")
+    return _flat(_sketch(spark, d).dump(WORD))
+
+
+@_query(_sql("ent rel tlex", "SELECT h.value AS head, rel, c.value AS coll, cnt, rnk, CASE rel_id WHEN 0 THEN h.value || ' ' || c.value ELSE c.value || ' ' || h.value END AS lcm FROM ent JOIN rel USING (rel_id) JOIN tlex h ON h.id = head_id JOIN tlex c ON c.id = coll_id"))
+def ws_table(spark, d):
+    return _sketch(spark, d).table()
 
 
 @_query(_sql("occ", "SELECT head_id, rel_id, coll_id, pos, coll_off FROM occ"))
