@@ -1,47 +1,8 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, under the names this subpackage uses."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from ..operators._shared import clean_up, drop, new_path, shared_dir
+from ..operators._shared import written as materialise
 
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster must name it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not (spark.sparkContext.master or "").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="poslex-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    del df
-    release(spark)
-    return spark.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished steps, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes the tables that this process wrote; results not yet written can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["clean_up", "drop", "materialise", "new_path", "shared_dir"]
