@@ -8,8 +8,8 @@ space. Only keys and counts are sorted; the texts meet one row of numbers for ea
 
 The row at the cut takes only the tokens left (``take`` < ``n_tokens``), so the sum of ``take`` over a source is its
 budget to the token. Edge cases: rows of a source that share a key (equal or null doc_ids) stand in the order of
-their text's hash; rows equal in doc_id and text are a tie, each taken as if it came first of them (which can exceed
-the budget by the repeats of the row at the cut). A null source is a source of its own, of the default weight. A
+their text's hash. Rows equal in doc_id and text are one step of as many tokens as all of them have; if the cut falls
+into such a step its rows are numbered in the order they are read, and taken one after another up to the budget. A null source is a source of its own, of the default weight. A
 source without any token gives no rows and has no part in the weights, as no repetition of it can fill a budget; in
 others a row without tokens comes with take 0 where it stands before the cut. An empty table gives no rows.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators._numbering import numbered
 from . import _run
 
 #: Target weights of production; sources that aren't named have the weight 1.
@@ -55,7 +56,7 @@ def cuts(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, total: int | N
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["s", "key", "th"]
     rows = docs.select(*_place(seed), token_count(F.col("text")).alias("n"))
-    steps = rows.groupBy(*order).agg(F.sum("n").alias("n"))
+    steps = rows.groupBy(*order).agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
     ranged = _run.materialise(steps.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("s", "part").agg(F.sum("n").alias("n"))
     earlier = W.partitionBy("s").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -71,7 +72,7 @@ def cuts(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, total: int | N
     sources = sources.select("s", "tokens", "budget", F.expr("budget DIV tokens").alias("epochs"), F.expr("budget % tokens").alias("left"))
     inside = W.partitionBy("s", "part").orderBy("key", "th").rowsBetween(W.unboundedPreceding, -1)
     before = ranged.join(sums.select("s", "part", "base"), ["s", "part"]).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    last = before.join(sources.select("s", "left"), "s").where("before < left").groupBy("s").agg(F.max(F.struct("key", "th", "before")).alias("cut"))
+    last = before.join(sources.select("s", "left"), "s").where("before < left").groupBy("s").agg(F.max(F.struct("key", "th", "before", "copies")).alias("cut"))
     return _run.materialise(sources.join(last, "s", "left").select("s", "tokens", "budget", "epochs", "left", "cut"), "cuts")
 
 
@@ -83,7 +84,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, total: int | No
     rows = docs.select(F.struct("*").alias("row"), *_place(seed), token_count(F.col("text")).alias("n_tokens")).join(plan, "s")
     at = F.struct("key", "th")
     cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.th").alias("th"))
-    part = F.when(F.col("cut").isNull() | (at > cut), F.lit(None)).when(at == cut, F.least("n_tokens", F.col("left") - F.col("cut.before"))).otherwise(F.col("n_tokens"))
+    copy = F.lit(0).cast("long")
+    if plan.where("cut.copies > 1").isEmpty():
+        rows = rows.withColumn("copy", copy)
+    else:
+        tie = F.coalesce((at == cut) & (F.col("cut.copies") > 1), F.lit(False))
+        tied = numbered(rows.where(tie).withColumn("read", F.monotonically_increasing_id()), ["read"], "copy", by=["s"]).drop("read")
+        rows = rows.where(~tie).withColumn("copy", copy).unionByName(tied)
+    spare = F.col("left") - F.col("cut.before") - F.col("copy") * F.col("n_tokens")
+    part = F.when(F.col("cut").isNull() | (at > cut), F.lit(None)).when(at < cut, F.col("n_tokens")).when(spare > 0, F.least("n_tokens", spare))
     rows = rows.withColumn("part", part).withColumn("times", F.col("epochs") + F.col("part").isNotNull().cast("long")).where("times > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return rows.select("row", "epoch", "n_tokens", F.when(F.col("epoch") > F.col("epochs"), F.col("part")).otherwise(F.col("n_tokens")).alias("take"))
