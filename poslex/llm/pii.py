@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Candidate spans are cut by broad patterns out of the surroundings of words that hold a digit, '@' or '='. Labelers
-vote on each candidate for (1), against (2) or not at all (0): a strict pattern, a check sum or range, gazetteers (mail
-domains, card issuers, calling codes, reserved numbers), the context words around it, its variety of characters, and
+vote on each candidate for (1), against (2) or not at all (0): a strict pattern, a check sum or range, gazetteers
+(top-level domains, card issuers, calling codes, reserved addresses, key prefixes), the context words around it, its variety of characters, and
 its borders. Expectation-maximisation over all candidates estimates how reliable each labeler is and how likely each
 candidate is personal data; these likelihoods are the soft labels on which the span classifier, a logistic regression
 over votes, kind and length, is fitted. Spans of at least ``least`` probability are returned.
@@ -11,7 +11,7 @@ Both models see nothing but the count of each combination of kind, length class
 with the corpus; the counts are over all candidates of all documents.
 
 Edge cases: null, empty and plain texts have no spans. Places are in code points of the text, end exclusive; they
-don't overlap within a document. Long texts are scanned whole. Rows are independent: repeated rows give their spans each, with
+don't overlap within a document. Long texts are scanned whole, unbroken ones too, in time in proportion to their length. Rows are independent: repeated rows give their spans each, with
 whatever doc_id they have. Without any candidate the result is empty.
 """
 
@@ -34,15 +34,17 @@ LEAST = 0.5
 AROUND = 4
 _LENGTHS = 4
 
-_CANDIDATE = re.compile(
-    r"(?P<email>[^\W_][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
+#: Parts of an address are as long as standards allow, so that the search takes time in proportion to the text, whatever it holds.
+_EMAIL = r"(?P<email>[^\W_][\w.+%-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+)|"
+_OTHERS = (
+    r"(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
     r"|(?P<secret>(?<![\w/+-])(?=[A-Za-z_+/-]*\d)(?:sk-|gh[pousr]_|AKIA|xox[baprs]-|eyJ)?[A-Za-z0-9_+/-]{16,}={0,2}(?![\w/+-]))"
     r"|(?P<phone>(?<![\w.,:/+-])\(?(?:\+|00)?\d{1,3}(?:[ ./-]?\(\d{1,4}\)|[ ./-]?\d{1,4})(?:[ ./-]?\d{2,5}){1,4}(?![\w-]|[.,:/]\d))"
 )
+_CANDIDATE, _WITHOUT_AT = re.compile(_EMAIL + _OTHERS), re.compile(_OTHERS)
 _STRICT = {
     "email": re.compile(r"[\w][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
@@ -99,9 +101,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
     elif kind == "iban":
         plain = span.replace(" ", "")
         checked = 1 if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else 2
-    elif kind == "ssn":
-        checked = strict
-    else:
+    elif kind == "secret":
         kinds = sum(bool(re.search(p, span)) for p in (r"\d", "[a-z]", "[A-Z]"))
         checked = 1 if kinds >= 2 and len(digits) >= len(span) / 8 else 2
         gazetteer = 1 if re.match(r"sk-|gh[pousr]_|AKIA|xox|eyJ", span) else 0
@@ -151,7 +151,7 @@ def candidates(column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         data = raw.tobytes()
         for s, e, r in zip(start[a].tolist(), end[b].tolist(), row[a].tolist(), strict=True):
             window, base = data[s:e].decode("utf-8"), int(chars[s] - chars[off[r]])
-            for m in _CANDIDATE.finditer(window):
+            for m in (_CANDIDATE if "@" in window else _WITHOUT_AT).finditer(window):
                 kind = m.lastgroup
                 vote = votes(kind, m[0], window[max(0, m.start() - 80) : m.start()], window[m.end() : m.end() + 40])
                 yield at + r, base + m.start(), base + m.end(), code(KINDS.index(kind), m.end() - m.start(), vote)
