@@ -14,8 +14,9 @@ are found in two rounds: first each list's least member with the others (many of
 of members that the first round left in different components. Skipped pairs are within one component already.
 
 Edge cases: a document without tokens (null, empty or white space only) has no signature and is never a duplicate.
-Documents are named by doc_id; where rows share a doc_id (or have none) their text's hash tells them apart, and rows
-equal in both are exact copies of each other. Of a group the row with the least (doc_id, hash of text) stays, a null
+Documents are named by doc_id, of any type that has an order; where rows share a doc_id (or have none) their text's
+hash tells them apart, and rows equal in both are exact copies of each other: ``duplicates`` gives such a name, with
+the number of its copies, even where it is the one that is kept. Of a group the row with the least (doc_id, hash of text) stays, a null
 doc_id comes last.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _run, _vec
@@ -83,7 +84,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed = _elements(sig)
             one, two = mixed.sum(1, dtype=U).view(np.int64), _vec.mix(mixed, 5).sum(1, dtype=U).view(np.int64)
         take = pa.array(who)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc", "th", "one", "two", "sig"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 1)), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc", "th", "one", "two", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -168,14 +169,20 @@ def _agreeing(matches: int):
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null as the largest number), th (hash of the text), text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    """doc (the doc_id), th (hash of the text), text."""
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+
+
+def _row(*more: str) -> Column:
+    """What orders rows: doc_id, null last, then the hash of the text."""
+    return F.struct(F.col("doc").isNull().alias("none"), "doc", "th", *more)
 
 
 def signature_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their group of equal signatures (doc, th, group) and the groups (group, sig, and their first row)."""
-    rows = _run.materialise(named(docs).mapInArrow(_signed, "doc long, th long, one long, two long, sig binary"), "signatures")
-    firsts = rows.groupBy("one", "two").agg(F.min(F.struct("doc", "th", "sig")).alias("first"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = _run.materialise(named(docs).mapInArrow(_signed, f"doc {kind}, th long, one long, two long, sig binary"), "signatures")
+    firsts = rows.groupBy("one", "two").agg(F.min(_row("sig")).alias("first"))
     groups = _run.materialise(firsts.select("one", "two", F.monotonically_increasing_id().alias("group"), "first.doc", "first.th", "first.sig"), "groups")
     return rows.select("doc", "th", "one", "two"), groups
 
@@ -229,8 +236,10 @@ def components(pairs: DataFrame) -> DataFrame:
         new = _run.materialise(small, "edges")
         # a forest of stars: every u has one v and no v is a u
         many = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").union(new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi"))
+        done = many.isEmpty()
+        _run.drop(edges)
         edges = new
-        if many.isEmpty():
+        if done:
             return edges.select(F.col("u").alias("name"), F.col("v").alias("least"))
 
 
@@ -240,20 +249,21 @@ def duplicates(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     Of rows equal in doc_id and text all share a name; such a name is given with copies > 1.
     """
     rows, groups = signature_groups(docs)
-    first = F.struct("doc", "th").alias("first")
+    first = _row().alias("first")
     # name the component by its least row, not by its least group
     member = groups.select("one", "two", "group", first).join(linked(groups, matches), F.col("group") == F.col("name"), "left").select("one", "two", F.coalesce("least", "group").alias("least"), "first")
     keep = member.groupBy("least").agg(F.min("first").alias("keep"))
     member = member.join(keep, "least").select("one", "two", "keep")
     found = rows.groupBy("one", "two", "doc", "th").agg(F.count("*").alias("copies")).join(member, ["one", "two"])
-    return found.select("doc", "th", "copies", F.col("keep.doc").alias("keep_doc"), F.col("keep.th").alias("keep_th")).where("doc != keep_doc OR th != keep_th OR copies > 1")
+    return found.select("doc", "th", "copies", F.col("keep.doc").alias("keep_doc"), F.col("keep.th").alias("keep_th")).where("NOT doc <=> keep_doc OR th != keep_th OR copies > 1")
 
 
 def one_of_each(docs: DataFrame, matches: int = MATCHES) -> DataFrame:
     """The documents, in their own columns, of which only the first row of each group stays."""
     gone = _run.materialise(duplicates(docs, matches), "duplicates")
-    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("th"))
-    marked = own.join(gone.select("doc", "th", F.expr("doc = keep_doc AND th = keep_th").alias("first")), ["doc", "th"], "left")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"))
+    gone = gone.select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th"), F.expr("doc <=> keep_doc AND th = keep_th").alias("first"))
+    marked = own.join(gone, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("th") == F.col("own_th")), "left")
     single = marked.where("first IS NULL").select("row")
     # rows equal in doc_id and text: one of those that are first
     again = marked.where("first").groupBy("doc", "th").agg(F.first("row").alias("row")).select("row")
@@ -264,8 +274,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Every document that is a near copy of another: doc_id, kept_doc_id of the one kept for its group, and which rows these are.
 
     A row for each name (doc_id, text_hash) with the copies that bear it; if it is the kept one's name, one of these stays.
-    A null doc_id comes out as null (so does 2**63 - 1, which is read alike).
+    A null doc_id comes out as null.
     """
     gone = duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    own = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1))
-    return gone.select(own("doc").alias("doc_id"), own("keep_doc").alias("kept_doc_id"), F.col("th").alias("text_hash"), F.col("keep_th").alias("kept_text_hash"), "copies")
+    return gone.select(F.col("doc").alias("doc_id"), F.col("keep_doc").alias("kept_doc_id"), F.col("th").alias("text_hash"), F.col("keep_th").alias("kept_text_hash"), "copies")
