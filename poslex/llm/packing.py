@@ -3,11 +3,12 @@
 A document's tokens (maximal runs outside ASCII white space) are cut into pieces: as many full ones of ``capacity``
 as fit, and the rest. A piece of n tokens is of class floor(capacity / n), at most ``classes``: class k holds pieces
 of at most capacity / k tokens, so any k of them fit a bin. Each bin takes the next k pieces of its class, in the
-order of doc_id and place, without looking at others. Documents are spread over shards by a hash of doc_id, about
+order of doc_id and place, without looking at others. Documents are spread over shards by a hash of doc_id (of the text where it is null), about
 ``shard_docs`` to each; a shard's classes are packed by themselves, so workers need nothing from one another, and at
 most one bin of each class and shard stays unfilled.
 
-Edge cases: a document without tokens (null, empty, white space only) has no piece. Rows with equal or null doc_ids
+Edge cases: a document without tokens (null, empty, white space only) has no piece. Rows of one doc_id are in one shard,
+as doc_id is taken to be a key; copies of a text under other doc_ids are spread. Rows with equal or null doc_ids
 are ordered by their text's hash; repeated rows are packed each, in any order among themselves. An empty table gives
 no bins.
 """
@@ -31,7 +32,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, shar
     A bin is named by shard, class and bin; slots count from 0; start is the piece's first token in its document.
     """
     shards = max(1, -(-docs.count() // shard_docs))
-    number = F.conv(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).substr(1, 8), 16, 10).cast("long")
+    number = F.conv(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).substr(1, 8), 16, 10).cast("long")
     rows = docs.select("doc_id", "text", (number % shards).alias("shard"), F.xxhash64("text").alias("th"), token_count(F.col("text")).alias("n")).where("n > 0")
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("start")
     piece = F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start"))
@@ -52,7 +53,7 @@ def oracle() -> str:
     return f"""
 WITH r AS (
   SELECT doc_id, len(regexp_extract_all(text, '[^\\t-\\r ]+'))::BIGINT AS n,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {SHARD_DOCS}.0))::BIGINT FROM documents) AS shard
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text)), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {SHARD_DOCS}.0))::BIGINT FROM documents) AS shard
   FROM documents
 ), p AS (
   SELECT doc_id, shard, n, unnest(range(0, n, {CAPACITY})) AS start FROM r WHERE n > 0
