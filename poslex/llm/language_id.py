@@ -135,10 +135,11 @@ def train(texts: pa.Array, tags: list[str], width: int = 16, epochs: int = 6, ra
 
 
 def fit(docs: DataFrame, sample: int = 3_000, **options) -> Model:
-    """A model from at most ``sample`` tagged documents, taken in the order of a hash of doc_id and text."""
+    """A model from at most ``sample`` tagged documents, taken in the order of a hash of doc_id and text; of equal ones a single row."""
     tagged = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     ids = tagged.select(F.xxhash64("doc_id", "text").alias("h")).distinct().orderBy("h").limit(sample)
-    rows = tagged.join(F.broadcast(ids), F.xxhash64("doc_id", "text") == F.col("h"), "left_semi").select("text", "lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+    rows = tagged.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), "h", "left_semi")
+    rows = rows.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.text", "row.lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     return train(_vec.texts(rows["text"], lower=True), rows["lang"].to_pylist(), **options)
 
 

@@ -156,17 +156,18 @@ def grow(x: np.ndarray, trees: int, size: int, seed: int) -> Forest:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 200, size: int = 64, good_loss: float = 0.005, seed: int = 7) -> Forest:
-    """A calibrated forest from at most ``sample`` labelled rows, taken in the order of a hash of doc_id."""
+    """A calibrated forest from at most ``sample`` labelled rows, taken in the order of a hash of doc_id; of documents that share one a single row."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).dropna().groupBy("id").agg(F.min("q").alias("q"))
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(known, "id").select("text", "q")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(known, "id").select("id", "text", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(_vec.texts(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), batch.column(1).cast(pa.int32())], ["x", "q"])
+            x = statistics(_vec.texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32())), batch.column(2).cast(pa.int32())], ["id", "x", "q"])
 
-    got = rows.mapInArrow(run, "x array<float>, q int").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(run, f"id {kind}, x array<float>, q int").groupBy("id").agg(F.min(F.struct("x", "q")).alias("row")).select("row.x", "row.q").toArrow()
     if not got.num_rows:
         return grow(np.zeros((2, len(STATISTICS)), np.float32), 1, 2, seed)
     x, q = np.array(got["x"].to_pylist(), np.float32), got["q"].to_numpy()
