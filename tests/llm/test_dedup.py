@@ -1,6 +1,7 @@
 """Line dedup and near-dedup against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,11 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("percent", [50, 80, 100])
-def test_lines_brute_force(spark, percent):
+@pytest.mark.parametrize(("percent", "most"), [(50, 1 << 22), (80, 1 << 22), (80, 0), (100, 0)])
+def test_lines_brute_force(spark, percent, most):
+    """With the bitmap and, as for more lines than it may hold, with joins."""
     rows = corpus(percent)
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), percent).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), percent, most).collect()
     assert {(r["doc_id"]): r["text"] for r in got} == {k[0]: v for k, v in brute_lines(rows, percent).items()}
 
 
@@ -66,6 +68,27 @@ def test_line_cases(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_ids_of_other_types(spark):
+    """Ids are ordered as their type is, and come out as they are; a null id is last, and null."""
+    text, other = "one two three four five", "six seven eight nine ten"
+    rows = [("b", text), ("a10", text + " more"), ("a9", other), (None, other + " and"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()), key=repr)
+    assert got == sorted([("b", "", 1), ("a10", text + " more", 0), ("a9", other, 0), (None, "", 1), (None, "", 1)], key=repr)
+    twins = [("b", text), ("a10", text.upper()), (None, text), (None, text.upper()), ("z", other)]
+    got = minhash_dedup.duplicates(spark.createDataFrame(twins, "doc_id string, text string")).collect()
+    assert {(r["doc"], r["keep_doc"]) for r in got} == {("b", "a10"), (None, "a10")} and len(got) == 3
+    assert sorted((r["doc_id"] for r in minhash_dedup.one_of_each(spark.createDataFrame(twins, "doc_id string, text string")).collect())) == ["a10", "z"]
+
+
+def test_repeated_rows_of_lines(spark):
+    """One row, many times, among near copies of it: every repeat is treated alike."""
+    a = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, a)] * 50 + [(2, a + " more\nown line here")] * 50
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), 80).collect()}
+    assert got == {(1, a, 0), (2, "own line here", 1)}
+
+
 def test_line_other_columns(spark):
     docs = spark.createDataFrame([(1, "a", "p", 1), (2, "a", None, 2)], "doc_id long, text string, gone string, line int")
     got = {r["doc_id"]: (r["text"], r["rest"]["gone"], r["rest"]["line"]) for r in line_dedup.dedup_lines(docs).collect()}
@@ -88,9 +111,43 @@ def near_copies(seed, groups=12, size=6):
     return rows
 
 
+MASK, STEP = 2**64 - 1, 0x9E3779B97F4A7C15
+
+
+def mixed(h, seed=0):
+    h = (h + seed * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) & MASK
+    h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK
+    h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & MASK
+    return h ^ (h >> 32)
+
+
+def plain_signature(text):
+    """The signature of a text from the definition, one token after another; None without tokens."""
+    tokens = [t for t in re.split("[\t-\r ]+", text.lower()) if t]
+    hashes = []
+    for raw in (t.encode() for t in tokens):
+        total = sum(b * pow(STEP, i, 2**64) for i, b in enumerate(raw)) & MASK
+        hashes.append(mixed((total + (len(raw) << 56)) & MASK))
+    n = minhash_dedup.WORDS
+    runs = [hashes[i : i + n] for i in range(max(1, len(hashes) - n + 1))] if hashes else []
+    shingles = {mixed(sum(h * pow(STEP, i, 2**64) for i, h in enumerate(run)) & MASK) for run in runs}
+    return [mixed(min((x * int(f)) & MASK for x in shingles)) & 0xFFFFFFFF for f in minhash_dedup._FACTORS] if shingles else None
+
+
+def test_signatures_from_their_definition():
+    rng = random.Random(12)
+    words = ["a", "B", "é", "日本", "word", "\u00a0x", "tail"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + ["", " ", "one", "one two", "x" * 5000]
+    who, sig = minhash_dedup.signatures(_vec.texts(pa.array(texts), lower=True))
+    want = {i: s for i, t in enumerate(texts) if (s := plain_signature(t)) is not None}
+    assert dict(zip(who.tolist(), sig.tolist(), strict=True)) == want
+
+
 def brute_groups(rows, matches=minhash_dedup.MATCHES):
     """Least doc_id of each row's component under at least ``matches`` agreements."""
-    who, sig = minhash_dedup.signatures(_vec.texts(pa.array([t for _, t in rows], pa.string()), lower=True))
+    plain = [plain_signature(t) for _, t in rows]
+    who = np.array([i for i, s in enumerate(plain) if s is not None])
+    sig = np.array([plain[i] for i in who])
     parent = {int(w): int(w) for w in who}
 
     def root(x):

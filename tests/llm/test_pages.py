@@ -1,12 +1,13 @@
 """Template deduction against a brute-force restatement, and on made sites."""
 
 import random
-from collections import Counter, defaultdict
+import re
+from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
-from poslex.llm import _vec, html_template
+from poslex.llm import html_template
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -23,45 +24,122 @@ def site(name, n, seed, first=0):
     return [(first + i, f"https://{name}/p{i}", page(name, t, x, "<!-- note -->" * (i % 2))) for i, (t, x) in enumerate(made)], made
 
 
-def brute_classes(rows, support=html_template.SUPPORT, size=html_template.SIZE):
-    """host -> set of token tuples: the valid classes, from all occurrence vectors."""
-    pages = defaultdict(list)
-    for _, url, html in rows:
-        page, _, _, token, _, _ = html_template.sequence(_vec.texts(pa.array([html])), {})
-        pages[url.split("/")[2]].append(token.view(np.int64))
-    out = {}
-    for host, own in pages.items():
-        vectors = defaultdict(lambda: [0] * len(own))
-        for i, tokens in enumerate(own):
-            for t, c in Counter(tokens.tolist()).items():
-                vectors[t][i] = c
-        groups = defaultdict(list)
-        for t, v in vectors.items():
-            on = sum(c > 0 for c in v)
-            if on >= support * len(own) and on >= html_template.LEAST_PAGES:
-                groups[tuple(v)].append(t)
-        groups = [sorted(g) for g in groups.values() if len(g) >= size]
-        orders, cross = [set() for _ in groups], set()
-        for tokens in own:
-            found, bad = html_template.check_page(tokens, {k: np.array(g, np.int64) for k, g in enumerate(groups)})
-            for k, o in found.items():
-                orders[k].add(o)
-            cross |= bad
-        valid = {k: next(iter(o)) for k, o in enumerate(orders) if len(o) == 1 and () not in o}
-        assert not any(a in valid and b in valid for a, b in cross)
-        out[host] = set(valid.values())
+TAGS = re.compile(r"<!--.*?-->|<![^<>]*>|<(script|style)\b[^<>]*>.*?</\1\s*>|<(/?)([a-z]\w*)[^<>]*?(/?)>", re.S | re.I)
+VOID = "area base br col embed hr img input link meta source track wbr".split()
+ALONE = "p li tr td th option dt dd".split()
+
+
+def plain_tokens(html):
+    """(token, path, word or None) of a page, tokens told apart by what they are and the open elements around them."""
+    out, open_, at = [], [], 0
+
+    def text(part):
+        out.extend((("word", w, *open_), tuple(open_), w) for w in re.split("[\t-\r ]+", part) if w)
+
+    for m in TAGS.finditer(html):
+        text(html[at : m.start()])
+        at = m.end()
+        name = (m[3] or "").lower()
+        if m[1]:
+            out.append((("whole", m[1].lower(), *open_), tuple(open_), None))
+        elif m[2] and name in open_:
+            while open_[-1] != name:
+                open_.pop()
+            out.append((("end", *open_), (), None))
+            open_.pop()
+        elif m[2]:
+            out.append((("stray", name, *open_), tuple(open_), None))
+        elif name:
+            if name in ALONE and open_ and open_[-1] == name:
+                open_.pop()
+            out.append((("start", name, *open_), tuple(open_), None))
+            if name not in VOID and not m[4]:
+                open_.append(name)
+    text(html[at:])
     return out
 
 
-def test_classes_brute_force(spark):
-    rows = site("a.org", 9, 1)[0] + site("b.org", 5, 2, 100)[0] + site("c.org", 2, 3, 200)[0]
-    found = html_template.classes(html_template.with_host(spark.createDataFrame(rows, SCHEMA))).collect()
-    got = defaultdict(set)
-    for r in found:
-        got[r["host"]].add(tuple(r["tokens"]))
-    want = brute_classes(rows)
-    assert want["a.org"] and want["b.org"] and not want["c.org"]
-    assert got == {h: c for h, c in want.items() if c}
+def rounds(tokens, own):
+    """Order and places of a class on a page; None if its tokens don't come in whole rounds of one order."""
+    at = [i for i, t in enumerate(tokens) if t in own]
+    if len(at) % len(own):
+        return None
+    each = [at[i : i + len(own)] for i in range(0, len(at), len(own))]
+    orders = {tuple(tokens[i] for i in r) for r in each}
+    return (each, orders) if len(orders) <= 1 and all(len(set(o)) == len(own) for o in orders) else None
+
+
+def plain_classes(pages, support=html_template.SUPPORT, size=html_template.SIZE):
+    """The valid classes of a host's pages (lists of plain_tokens): {tokens: weight}."""
+    n = len(pages)
+    vectors = defaultdict(lambda: [0] * n)
+    for i, page in enumerate(pages):
+        for t, _, word in page:
+            if n != html_template.FEW_PAGES or word is None:
+                vectors[t][i] += 1
+    groups = defaultdict(set)
+    for t, v in vectors.items():
+        groups[tuple(v)].add(t)
+    least = max(support * n, n if n == html_template.FEW_PAGES else html_template.LEAST_PAGES)
+    found = {}
+    for v, own in groups.items():
+        on = [i for i in range(n) if v[i]]
+        got = {i: rounds([t for t, _, _ in pages[i]], own) for i in on}
+        if len(own) >= size and len(on) >= least and all(got.values()) and len(set.union(*(g[1] for g in got.values()))) == 1:
+            found[frozenset(own)] = (len(own) * len(on), {i: g[0] for i, g in got.items()})
+
+    def nested(x, y):
+        return all(len({sum(q < p for q in sum(y[i], [])) for p in r}) == 1 for i in x if i in y for r in x[i])
+
+    lighter = set()
+    for a, (wa, x) in found.items():
+        for b, (wb, y) in found.items():
+            both = [i for i in x if i in y]
+            if wa < wb and not all(nested({i: x[i]}, {i: y[i]}) or nested({i: y[i]}, {i: x[i]}) for i in both):
+                lighter.add(a)
+    return {c for c in found if c not in lighter}, lighter
+
+
+def plain_slots(rows):
+    hosts = defaultdict(list)
+    for page_id, url, html in rows:
+        hosts[url.split("/")[2]].append((page_id, plain_tokens(html)))
+    out, crossed = [], 0
+    for host, pages in hosts.items():
+        valid, lighter = plain_classes([p for _, p in pages])
+        crossed += len(lighter)
+        template = set().union(*valid)
+        for page_id, tokens in pages:
+            slots, fresh = [], True
+            for t, path, word in tokens:
+                if t in template:
+                    fresh = True
+                elif word is not None:
+                    if fresh:
+                        slots.append(("/".join(path), []))
+                    slots[-1][1].append(word)
+                    fresh = False
+            out += [(page_id, host, i, path, tuple(words)) for i, (path, words) in enumerate(slots)]
+    return sorted(out), crossed
+
+
+def crossing(first):
+    """Pages on which a class of words stands between the words of another, heavier one."""
+    mixed = "<html><body><h1>a1 b1 a2 b2 a3 b3</h1><p>{0} {0}x<p>tail {0}y</body></html>"
+    return [(first + i, f"https://x.org/{i}", mixed.format(f"u{i}")) for i in range(4)] + [(first + 9, "https://x.org/9", "<html><body><h1>a1 a2 a3</h1><p>v vx<p>tail vy</body></html>")]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_slots_brute_force(spark, monkeypatch, broadcast):
+    """With templates broadcast, and joined as for more of them, pages of hot hosts under several keys."""
+    if not broadcast:
+        monkeypatch.setattr(html_template, "BROADCAST_TOKENS", 0)
+        monkeypatch.setattr(html_template, "HOT", 3)
+    rows = site("a.org", 9, 1)[0] + site("b.org", 5, 2, 100)[0] + site("c.org", 2, 3, 200)[0] + site("d.org", 1, 5, 300)[0] + crossing(400)
+    rows += [(500 + i, f"https://e.org/{i}", f"<div><ul><li>k{i}<li>m<br/>n{i}</ul></p><script>x < y</script><style>s</style>Same foot{i} <!-- no --></div>") for i in range(6)]
+    got = [(r["page_id"], r["host"], r["slot"], r["path"], tuple(r["text"].split())) for r in html_template.extract(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want, crossed = plain_slots(rows)
+    assert sorted(got) == want and crossed == 1
 
 
 def test_slots(spark):

@@ -48,6 +48,31 @@ def test_stages_brute_force(spark):
     assert got == brute_pack(mixed)
 
 
+def test_nothing_is_left(spark):
+    """After clean_up no table of the run is in the shared folder."""
+    from pathlib import Path
+
+    from poslex.llm import _run
+
+    _run.clean_up(spark)
+    folder = Path(_run.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    assert corpus_pipeline.run(spark, DIR).count() and {p.name for p in folder.iterdir()} > before
+    _run.clean_up(spark)
+    assert {p.name for p in folder.iterdir()} == before
+
+
+def test_stages_take_repeated_rows(spark):
+    """Repeated rows go through every stage; of these the near-dedup keeps one."""
+    rows = [(1, "plain words that stand here and some more of them", "en", "src0", 49)] * 40 + [(2, "other words in another document of this test", "en", "src1", 44)] * 3
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        data = stage(spark, data, DIR)
+        if name == "MinHash near-dedup":
+            assert sorted(r["doc_id"] for r in data.collect()) == [1, 2]
+    assert corpus_pipeline.STAGES[-1][1](spark, data, DIR).count() >= 2
+
+
 def test_stage_columns(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 40")
     for _, stage in corpus_pipeline.STAGES[:-1]:

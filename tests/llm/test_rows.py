@@ -57,11 +57,23 @@ def test_mix_cases(spark):
     docs = spark.createDataFrame([(*r, s) for r, s in zip(ODD, [None, "a", "a", "a", "b", "b", "b", "b"], strict=True)], SCHEMA + ", source string")
     got = mixing.mix(docs).collect()
     assert {r["row"]["source"] for r in got} == {"a", "b"}
-    # repeated rows are a tie, of which each is taken alike
-    assert sum(r["take"] for r in got) >= 0.9 * sum(r["budget"] for r in mixing.cuts(docs).collect())
+    assert sum(r["take"] for r in got) == sum(r["budget"] for r in mixing.cuts(docs).collect())
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("total", [0, 1, 8, 24, 25, 26, 63, 1000])
+def test_mix_repeated_rows(spark, total):
+    """Rows equal in all columns are taken one after another, to the token."""
+    rows = [(1, "x", "one two three four five", "extra")] * 5 + [(None, "y", "a b c", "extra")] * 7 + [(3, "y", "d e", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, take string")
+    got = mixing.mix(docs, {}, total).collect()
+    plan = {r["s"][1:]: r["budget"] for r in mixing.cuts(docs, {}, total).collect()}
+    for source, budget in plan.items():
+        own = [r for r in got if r["row"]["source"] == source]
+        assert sum(r["take"] for r in own) == budget
+        assert sum(r["take"] < r["n_tokens"] for r in own) <= 1 and all(r["take"] > 0 for r in own)
+
+
 # ---- packing ----------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("capacity", [7, 64])
 def test_packing(spark, capacity):
@@ -195,6 +207,29 @@ def test_token_round_trip(spark, tmp_path):
     assert sum(pyarrow.orc.ORCFile(f).nrows for f in files) == len(rows + ODD)
 
 
+def test_token_ids_are_the_vocabulary_s(spark, tmp_path):
+    """Every row's ids are those of the vocabulary on its whole text, at every kind of white space and border."""
+    bpe = token_orc.Encoder(token_orc.VOCABULARY).bpe
+    rng = random.Random(13)
+    bits = ["word", "Don't", "it's", " ", "  ", "\n", "\n\n ", "\t", "\x0b", "\x0c", "\r\n", "\x1c", "\x85", "\u00a0", "\u1680", "\u2003", "\u2028", "\u3000", "é", "e\u0301", "日本語", "\U0001f600", "42", "3.14", "!?", "...", "_", "<|endoftext|>", "'s", "A"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = list(enumerate(texts))
+    token_orc.write(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "ids"))
+    got = {r["doc_id"]: list(r["tokens"]) for r in token_orc.read(spark, str(tmp_path / "ids")).collect()}
+    assert got == {i: bpe.encode_ordinary(t) for i, t in rows}
+    # runs of white space so long that the vocabulary's own search fails; shorter ones tell what is right
+    encoder, decode = token_orc.Encoder(token_orc.VOCABULARY), token_orc.decoder()
+    for n in (token_orc.LONG, token_orc.LONG + 1, 3 * token_orc.LONG):
+        for text in (" " * n, "a" + " " * n + "b", "\n" * n + "x" + "\t" * n, "don't" + " \n" * n + "'s", "1" + "\u3000" * n + "\u00a0", "." + " " * n + "\x1c."):
+            assert encoder.ids(text) == bpe.encode_ordinary(text), (n, text[:3])
+    huge = "a" + " " * 1_000_000 + "b" + "\n" * 1_000_000
+    assert decode(encoder.ids(huge)) == huge
+    empty = str(tmp_path / "none")
+    token_orc.write(spark.createDataFrame([], SCHEMA), empty)
+    assert token_orc.read(spark, empty).collect() == []
+
+
 def test_token_stripes(spark, tmp_path):
     path = str(tmp_path / "ids")
     rng = np.random.default_rng(1)
@@ -205,6 +240,20 @@ def test_token_stripes(spark, tmp_path):
     plan = token_orc.lookup(spark, path, [5])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan or "In(doc_id, [5])" in plan
     assert token_orc.lookup(spark, path, [5]).count() == 1
+    # what the file itself says: row indexes and Bloom filters on doc_id in every stripe, and a run-length encoding
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == token_orc.STRIDE and reader.getSchema().getFieldNames()[0] == "doc_id"
+    found = reader.rows()
+    seen = 0
+    for i in range(reader.getStripes().size()):
+        footer = found.readStripeFooter(reader.getStripes().get(i))
+        kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+        assert {(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8")} <= kinds
+        assert footer.getColumns(1).getKind().toString() == "DIRECT_V2"
+        seen += reader.getStripes().get(i).getNumberOfRows()
+    assert seen == 3000
 
 
 # ---- language ---------------------------------------------------------------------------------------------------
@@ -237,6 +286,40 @@ def test_language_cases(spark):
     assert len(got) == len(ODD) and all(r["rejected"] and r["lang"] is None for r in got)
 
 
+def plain_buckets(text):
+    """Bucket of every n-gram of bytes of a lower-cased text, white space and control bytes read as blanks."""
+    raw = bytes(32 if b <= 32 else b for b in text.lower().encode())
+    out = []
+    for n, factor in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
+        for i in range(len(raw) - n + 1):
+            code = (int.from_bytes(raw[i : i + n], "little") * factor) & 0xFFFFFFFF
+            code = ((code ^ (code >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            out.append(code >> (32 - language_id.BITS))
+    return out
+
+
+def test_language_odd_rows(spark):
+    """Null, empty, very long, repeated and untagged rows meet a trained model."""
+    tagged = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog on the mat", "en"), ("der hund und die katze", "de")] * 30)]
+    docs = spark.createDataFrame(tagged + [(*r, "en" if i % 2 else None) for i, r in enumerate(ODD)] + [tagged[0]] * 500, SCHEMA + ", lang string")
+    model = language_id.fit(docs, sample=40)
+    assert model.langs == ("de", "en")
+    odd = spark.createDataFrame(ODD + [(9, "die katze und der hund"), (9, "die katze und der hund")], SCHEMA)
+    got = language_id.identify(odd, model).collect()
+    assert len(got) == len(ODD) + 2
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert all(by[i][0]["rejected"] and by[i][0]["lang"] is None for i in (1, 2))
+    assert len(by[9]) == 2 and by[9][0] == by[9][1] and by[6][0] == by[6][1]
+    for r in got:
+        t = dict(ODD + [(9, "die katze und der hund")])[r["doc_id"]]
+        if t and (own := plain_buckets(t)):
+            z = (np.array([model.table[c][own].astype(np.float64).mean() for c in range(2)]) + model.bias) / model.temperature
+            assert abs(r["probability"] - (np.exp(z - z.max()) / np.exp(z - z.max()).sum()).max()) < 1e-6
+    assert language_id.identify(odd.limit(0), model).collect() == []
+
+
 # ---- quality ----------------------------------------------------------------------------------------------------
 def path_length(forest, t, x):
     node = 0
@@ -259,6 +342,53 @@ def test_forest_brute_force():
     assert (score[5:] > cut.threshold).mean() <= 0.01
 
 
+def plain_statistics(text):
+    """The nine statistics of a text from their names, one token after another."""
+    tokens = [t for t in re.split("[\t-\r ]+", text or "") if t]
+    n, few = len(tokens), 10
+    if not n:
+        return None
+    symbol, mark = set("#$%&*<>{}[]|\\^~=+_@!"), set(".,;:!?\"')")
+    letter = lambda b: chr(b).isalpha() if b < 128 else True
+    raw = text.encode()
+    chars = sum(len(t) for t in tokens)
+    runs = [tuple(tokens[i : i + 4]) for i in range(n - 3)]
+    return [
+        sum(chr(b) in symbol for b in raw) / (chars + 5 * few),
+        sum(65 <= b <= 90 for b in raw) / (sum(map(letter, raw)) + 5 * few),
+        (chars + 5 * few) / (n + few),
+        sum(t[-1] in mark for t in tokens) / (n + few),
+        sum(len(t.encode()) == 1 and not t.isalpha() for t in tokens) / (n + few),
+        sum(a == b for a, b in zip(tokens, tokens[1:])) / (n + few),
+        (max(tokens.count(t) for t in set(tokens)) - 1) / (n + few),
+        (len(runs) - len(set(runs))) / (len(runs) + few),
+        sum(t[-1] in symbol and len(t.encode()) > 1 for t in tokens) / (n + few),
+    ]
+
+
+def test_statistics_brute_force():
+    rng = random.Random(14)
+    bits = ["word", "WORD", "a", "$", "!", "x!", "same", "same", "é", "日本", "end.", "1", "<b>", "\u00a0"]
+    texts = [rng.choice(["", " "]).join(rng.choice(bits) + rng.choice([" ", "\n", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", None, " ", "one", "ab " * 3000]
+    got = quality_rules.statistics(_vec.texts(pa.array(texts)))
+    for t, row in zip(texts, got, strict=True):
+        want = plain_statistics(t)
+        assert np.isnan(row).all() if want is None else np.allclose(row, want, rtol=1e-5), t
+
+
+def test_samples_hold_their_bound(spark, monkeypatch):
+    """A document that is there many times comes to the driver once."""
+    rows = [(1, "the same text again", "en")] * 400 + [(2, "ein anderer text hier", "de")] * 400
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    seen = []
+    monkeypatch.setattr(quality_rules, "grow", lambda x, *a: seen.append(len(x)) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        quality_rules.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    monkeypatch.setattr(language_id, "train", lambda texts, tags, **o: seen.append(len(tags)))
+    language_id.fit(docs)
+    assert seen == [2, 2]
+
+
 def test_quality_held_out(spark):
     """Forest and threshold from half of the labels, judged on the other half."""
     d = "/root/testdata/sf0.1"
@@ -309,6 +439,33 @@ def test_span_places_brute_force():
     assert got == [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in pii._CANDIDATE.finditer(t)]
 
 
+@pytest.mark.parametrize("bit", ["a%20", "0a1b2c3d", "1.", "a@", "x" * 64 + "@" + "b" * 100, "1234-", "a=1"])
+def test_unbroken_tokens(bit):
+    """A megabyte without white space takes time in proportion to its length."""
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 20):
+        text = pa.array([(bit * size)[:size]], pa.large_string())
+        began = time.process_time()
+        list(pii.candidates(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 6 and took[1] < 24 * max(took[0], 0.02)
+
+
+@pytest.mark.parametrize(
+    ("kind", "span", "before", "after", "want"),
+    [
+        ("email", "jane@example.org", "mail ", " now", (1, 1, 1, 1, 1, 1)), ("email", "a..b@x.zz", "x/", "/", (1, 2, 2, 0, 0, 2)), ("ip", "300.1.1.1", "", "", (2, 2, 2, 0, 0, 1)),
+        ("ip", "127.0.0.1", "version ", ".", (1, 1, 2, 2, 0, 1)), ("card", "4111 1111 1111 1111", "visa ", "", (1, 1, 1, 1, 2, 1)), ("card", "4111 1111 1111 1112", "order ", "", (1, 2, 1, 2, 0, 1)),
+        ("iban", "DE89 3704 0044 0532 0130 00", "iban: ", ".", (1, 1, 0, 1, 1, 1)), ("iban", "DE88 3704 0044 0532 0130 00", "", "", (1, 2, 0, 0, 1, 1)), ("ssn", "000-12-3456", "ssn ", "", (2, 0, 0, 1, 1, 1)),
+        ("phone", "+44 20 7946 0958", "call ", ",", (1, 1, 1, 1, 1, 1)), ("secret", "sk-abcDEF123456ghiJKL789", "key=", "", (1, 1, 1, 1, 1, 1)),
+    ],
+)
+def test_votes(kind, span, before, after, want):
+    assert pii.votes(kind, span, before, after) == want
+
+
 def test_em_recovers_reliabilities():
     rng = np.random.default_rng(3)
     n = 40_000
