@@ -5,9 +5,9 @@ with integer run-length encoding, each stripe has row indexes (least and greates
 Bloom filters on doc_id. Rows are sorted by doc_id within each file, so stripes of a file hold ranges of ids. Readers
 take stripes in parallel, and a filter on doc_id prunes stripes and row groups by metadata alone.
 
-Encoding is exactly that of the vocabulary on the whole text: at ASCII white space the pattern always splits in one
-way, so the pieces between are encoded once for each distinct one and looked up. Texts with other white space
-are encoded in one go.
+Encoding is that of the vocabulary on the whole text. Only runs of LONG white-space characters and more, on which its
+pattern search would run out of stack, are cut out: the pattern always takes them, but for a last one before other
+text, as one piece, so that they are encoded as such a piece.
 
 Edge cases: a null text has null ids and n_tokens null; an empty one has no ids. Rows are independent: repeated rows
 and null or equal doc_ids are kept as they are. Special tokens are never produced. Long texts are encoded whole.
@@ -16,7 +16,7 @@ and null or equal doc_ids are kept as they are. Special tokens are never produce
 from __future__ import annotations
 
 import base64
-import uuid
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _run, _vec
+from . import _run
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,13 +33,13 @@ STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 #: Rows after which the writer looks whether a stripe is full; by default it is 5000, whatever their size.
 LOOK = 100
-#: Distinct pieces that a worker remembers at most; it then starts anew.
-REMEMBERED = 300_000
-_CHUNK = 8 << 20
+#: White-space characters in a row from which on a run is encoded by itself.
+LONG = 1000
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG)
 
 
 class Encoder:
-    """Encodes columns of texts; remembers pieces."""
+    """Encodes texts with the vocabulary in a file."""
 
     def __init__(self, vocabulary: str):
         import tiktoken
@@ -47,84 +47,27 @@ class Encoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.ids = array("q", [0]), array("i")
-
-    def _pieces(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For spans of raw: where their ids begin in the array of remembered ids, how many, and that array."""
-        h = _vec.span_hash(raw, start, end)
-        each, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(each) > REMEMBERED:
-            self._forget()
-        slots = np.empty(len(each), np.int64)
-        for i, (key, at) in enumerate(zip(each.tolist(), first.tolist(), strict=True)):
-            slot = self.known.get(key)
-            if slot is None:
-                slot = self.known[key] = len(self.start) - 1
-                self.ids.extend(self.bpe.encode_ordinary(raw[start[at] : end[at]].tobytes().decode("utf-8")))
-                self.start.append(len(self.ids))
-            slots[i] = slot
-        begin = np.array(self.start, np.int64)
-        return begin[slots][back], np.diff(begin)[slots][back], np.array(self.ids, np.int32)
+        self._plain, self._piece = self.bpe._core_bpe.encode_ordinary, self.bpe._core_bpe.encode_single_piece
+
+    def ids(self, text: str) -> list[int]:
+        if len(text) < LONG or not _BLANKS.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in _BLANKS.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self._plain(text[at : m.start()])
+            out += self._piece(text[m.start() : end].encode())
+            at = end
+        return out + self._plain(text[at:])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts behind one another, and how many each has."""
-        ids, sizes = [], []
-        for at, to in _vec.chunks(column, _CHUNK):
-            raw, off = _vec.buffers(column[at:to])
-            if _odd_space(raw):
-                for i in range(at, to):
-                    raw, off = _vec.buffers(column[i : i + 1])
-                    got = (np.array(self.bpe.encode_ordinary(column[i].as_py()), np.int32), None) if _odd_space(raw) else self._chunk(raw, off)
-                    ids.append(got[0])
-                    sizes.append([len(got[0])])
-            else:
-                got, n = self._chunk(raw, off)
-                ids.append(got)
-                sizes.append(n)
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-
-    def _chunk(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(raw):
-            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-        start, end, row = _vec.tokens(raw, off)
-        # a blank right before a word goes with it
-        joined = (start > off[row]) & (raw[np.maximum(start - 1, 0)] == 32)
-        begin = start - joined
-        new = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, np.bool_)
-        gap = np.where(new, off[row], np.r_[0, end[:-1]]) if len(row) else begin
-        # of the white space before it the last character stands alone, unless it went with the word
-        alone = (begin > gap) & ~joined
-        cut = begin - alone
-        wide = cut > gap
-        # white space at the end of a row, or all of it
-        tail = off[:-1].copy()
-        tail[row] = end
-        open_ = off[1:] > tail
-        spans = np.concatenate([begin, cut[alone], gap[wide], tail[open_]])
-        ends = np.concatenate([end, begin[alone], cut[wide], off[1:][open_]])
-        order = np.argsort(spans, kind="stable")
-        spans, ends = spans[order], ends[order]
-        first, size, known = self._pieces(raw, spans, ends)
-        total = np.r_[0, np.cumsum(size)]
-        ids = known[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(spans, off)])
-
-
-def _odd_space(raw: np.ndarray) -> bool:
-    """Whether there may be white space outside ASCII."""
-    at = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
-    if not len(at):
-        return False
-    one, two = raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
-    lead = raw[at]
-    return bool(
-        ((lead == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (lead == 0xE1) & (one == 0x9A) & (two == 0x80) | (lead == 0xE3) & (one == 0x80) & (two == 0x80)
-         | (lead == 0xE2) & ((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)) | (one == 0x81) & (two == 0x9F))).any()
-    )
+        """Ids of all texts (null as empty) behind one another, and how many each has."""
+        ids, sizes = array("i"), []
+        for scalar in column:
+            own = self.ids(scalar.as_py() or "")
+            ids.extend(own)
+            sizes.append(len(own))
+        return np.array(ids, np.int32), np.array(sizes, np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -138,7 +81,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         _encoders[vocabulary] = encoder
         for batch in batches:
             null = np.array(batch.column(1).is_null())
-            ids, size = encoder.encode(_vec.texts(batch.column(1)))
+            ids, size = encoder.encode(batch.column(1))
             offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids), mask=pa.array(null))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32), mask=null), lists], ["doc_id", "n_tokens", "tokens"])
@@ -150,7 +93,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, stripe_bytes
     """Encodes and writes without a shuffle; files are as many as the input's partitions."""
     ordered = docs.select("doc_id", "text").sortWithinPartitions("doc_id")
     out = encoded(ordered, vocabulary).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-    out.option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(stride)).option("orc.rows.between.memory.checks", str(LOOK)).option("compression", "zstd").orc(path)
+    out.option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(stride)).option("orc.rows.between.memory.checks", str(LOOK)).option("compression", "zstd").mode("overwrite").orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -169,6 +112,6 @@ def decoder(vocabulary: str = VOCABULARY):
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, written as token ids and read again from the stripes."""
-    path = f"{_run.shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = _run.new_path(spark, "token-ids")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read(spark, path)
