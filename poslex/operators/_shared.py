@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Lets Spark delete an execution's shuffle files when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: list[str] = []
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A folder in the shared one, made for a table; it is deleted by clean_up, and at the latest when the driver's process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _paths.append(path)
+    for made in getattr(_open, "scopes", []):
+        made.append(path)
     files, at = _file_system(spark, path)
     files.mkdirs(at)
     files.deleteOnExit(at)
@@ -62,6 +68,20 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._written_at)
 
 
+@contextmanager
+def only_kept(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes, when it ends well, the tables that this thread wrote inside, but for those put into ``keep``."""
+    made: list[str] = []
+    _open.scopes = [*getattr(_open, "scopes", []), made]
+    try:
+        yield
+        for path in made:
+            if path in _paths and path not in [t._written_at for t in keep]:
+                _delete(spark, path)
+    finally:
+        _open.scopes = [x for x in _open.scopes if x is not made]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     files, at = _file_system(spark, path)
     files.delete(at, True)

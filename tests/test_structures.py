@@ -88,6 +88,23 @@ def test_no_window_over_all_rows(spark):
         assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_between_steps(spark):
+    from pathlib import Path
+
+    from poslex.operators import _shared
+
+    folder = Path(_shared.shared_dir(spark).removeprefix("file://"))
+    names = lambda: {p.name.split("-")[0] for p in folder.iterdir() if p.name.startswith("only")}
+    kept = []
+    with _shared.only_kept(spark, kept):
+        _shared.written(spark.range(3), "only1")
+        kept.append(_shared.written(spark.range(5), "only2"))
+        assert names() == {"only1", "only2"}
+    assert names() == {"only2"} and kept[0].count() == 5
+    _shared.drop(kept[0])
+    assert names() == set()
+
+
 def test_codes(spark):
     rows = spark.createDataFrame([(c,) for c in (1, 2, 3, 4, 5)], "c long").select(collocate_offset(F.col("c")).alias("o")).collect()
     assert [r["o"] for r in rows] == [None, 1, -1, 2, -2]
