@@ -68,8 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to the documents table. What a stage wrote on its way goes when its rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = _run.materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
+        kept: list[DataFrame] = []
+        with _run.only_kept(spark, kept):
+            docs = _run.materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
+            kept.append(docs)
+        _run.drop(*before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
