@@ -92,7 +92,7 @@ def test_random_tags(spark):
     import random
 
     rng = random.Random(5)
-    for _ in range(6):
+    for _ in range(4):
         events = [(rng.choice(["token", "start", "end", "empty"]), rng.choice("sp")) for _ in range(40)]
         shapes = {"token": "x", "start": "<{}>", "end": "</{}>", "empty": "<{}/>"}
         got = parsed(spark, [shapes[k].format(n) for k, n in events])
