@@ -93,11 +93,11 @@ class Lines:
             value = F.when(first, F.concat(F.lit("\ufeff"), F.col("value"))).otherwise(F.col("value"))
             self.rows = self.rows.join(F.broadcast(marked), "_file", "left").withColumn("value", value).drop("_first")
 
-    def segments(self, clean: Column | None = None, token: Column | None = None) -> DataFrame:
+    def segments(self, rows: DataFrame | None = None, clean: Column | None = None, token: Column | None = None) -> DataFrame:
         """_segment, _task; the lines and tokens before it (base_line, base_pos); and of lines, clean lines, tokens and tags those before it in its task."""
         clean, token = (F.lit(True) if c is None else c for c in (clean, token))
         count = lambda c: F.sum(c.cast("long"))
-        per = self.rows.groupBy("_segment", "_file", "_block").agg(F.min("_m").alias("first"), F.count("*").alias("lines"), count(clean).alias("clean"), count(clean & token).alias("tokens"))
+        per = (self.rows if rows is None else rows).groupBy("_segment", "_file", "_block").agg(F.min("_m").alias("first"), F.count("*").alias("lines"), count(clean).alias("clean"), count(clean & token).alias("tokens"))
         per = per.select("*", F.expr(f"first DIV {PLACES}").alias("_task"), (F.col("clean") - F.col("tokens")).alias("tags"))
         earlier = W.partitionBy("_task").orderBy("first").rowsBetween(W.unboundedPreceding, -1)
         per = per.select("_segment", "_file", "_block", "_task", "lines", "tokens", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_off") for c in ("lines", "clean", "tokens", "tags")))
@@ -304,9 +304,7 @@ class Parsed:
 
     @cached_property
     def _segments(self) -> DataFrame:
-        counted = Lines.__new__(Lines)
-        counted.rows, counted.given = self._tagged, self.lines.given
-        return counted.segments(F.expr(READ), ~F.col("tag"))
+        return self.lines.segments(self._tagged, F.expr(READ), ~F.col("tag"))
 
     @property
     def tokens(self) -> DataFrame:
