@@ -33,15 +33,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, shar
     """
     shards = max(1, -(-docs.count() // shard_docs))
     number = F.conv(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).substr(1, 8), 16, 10).cast("long")
-    rows = docs.select("doc_id", "text", (number % shards).alias("shard"), F.xxhash64("text").alias("th"), token_count(F.col("text")).alias("n")).where("n > 0")
+    rows = docs.select("doc_id", (number % shards).alias("shard"), F.xxhash64("text").alias("th"), token_count(F.col("text")).alias("n")).where("n > 0")
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("start")
     piece = F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start"))
-    text = F.when(F.col("n") <= capacity, F.col("text")).otherwise(token_slice(F.col("text"), F.col("start"), piece))
-    rows = rows.select("doc_id", "shard", "th", "n", start, *(["text"] if with_text else []))
-    rows = rows.select("doc_id", "shard", "th", "start", piece.alias("n_tokens"), F.least(F.lit(classes), F.floor(F.lit(capacity) / piece)).cast("long").alias("class"), *([text.alias("text")] if with_text else []))
+    rows = rows.select("doc_id", "shard", "th", "n", start)
+    rows = rows.select("doc_id", "shard", "th", "n", "start", piece.alias("n_tokens"), F.least(F.lit(classes), F.floor(F.lit(capacity) / piece)).cast("long").alias("class"))
     place = F.row_number().over(W.partitionBy("shard", "class").orderBy("doc_id", "th", "start")).cast("long") - 1
     rows = rows.withColumn("place", place)
-    return rows.select("shard", "class", F.expr("place DIV class").alias("bin"), F.expr("place % class").alias("slot"), "doc_id", "start", "n_tokens", *(["text"] if with_text else []))
+    out = ["shard", "class", F.expr("place DIV class").alias("bin"), F.expr("place % class").alias("slot"), "doc_id", "start", "n_tokens"]
+    if not with_text:
+        return rows.select(*out)
+    # pieces are placed without their texts, which meet them by document afterwards; rows equal in both are one text
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"), "text").groupBy("own_id", "own_th").agg(F.first("text").alias("text"))
+    rows = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")))
+    text = F.when(F.col("n") <= capacity, F.col("text")).otherwise(token_slice(F.col("text"), F.col("start"), F.col("n_tokens")))
+    return rows.select(*out, text.alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -100,6 +100,9 @@ def test_packing_cases(spark):
     for r in got:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
     assert total == {None: 2, 5: 30_000, 6: 6, 7: 3}
+    told = packing.pack(spark.createDataFrame(ODD * 3, SCHEMA), with_text=True).collect()
+    assert len(told) == 3 * len(got) and all(len(re.findall(r"[^\t-\r ]+", r["text"])) == r["n_tokens"] for r in told)
+    assert packing.pack(spark.createDataFrame([], SCHEMA), with_text=True).collect() == []
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
