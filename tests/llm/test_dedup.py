@@ -54,6 +54,41 @@ def test_lines_brute_force(spark, percent, most):
     assert {(r["doc_id"]): r["text"] for r in got} == {k[0]: v for k, v in brute_lines(rows, percent).items()}
 
 
+def families(seed, copies):
+    """Near copies of a short, a middling and a long line; some match only few of the others."""
+    rng = random.Random(seed)
+    rows = []
+    for size, most in ((12, 1), (40, 5), (130, 16)):
+        base = [f"f{size}_{i}" for i in range(size)]
+        for _ in range(copies):
+            own = list(base)
+            for i in rng.sample(range(size), rng.randint(0, most)):
+                own[i] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(own))
+    rng.shuffle(rows)
+    return [(d // 2, line) for d, line in enumerate(rows)]
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_near_copies_are_not_paired_with_each_other(spark, monkeypatch, bits):
+    """Candidates in proportion to the lines; and no match is lost, however small the bitmap of open lines."""
+    rows, counts, written = families(5, 200), {}, line_dedup._run.materialise
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup._run, "materialise", counted)
+    monkeypatch.setattr(line_dedup, "MOST_BITS", bits)
+    docs = spark.createDataFrame([(d, "\n".join(t for e, t in rows if e == d)) for d in sorted({d for d, _ in rows})], SCHEMA)
+    got = {(r["doc_id"]): r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {k[0]: v for k, v in brute_lines([tuple(r) for r in docs.collect()]).items()}
+    assert counts["open"] > 0
+    if bits > 64:
+        assert counts["near"] < 10 * len(rows) and counts["pairs"] < 20 * len(rows)
+
+
 def test_line_cases(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "a b c\n\n\t \na b c"), (None, "a b c\nx y"), (5, long), (6, long + "\nZ"), (7, "x Y"), (7, "x Y"), (8, "\n\n")]
