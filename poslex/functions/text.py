@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters with the Unicode property White_Space.
+_WHITE_ASCII = "\t\n\x0b\x0c\r "
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -16,7 +17,9 @@ def words(text: Column) -> Column:
 
 def trimmed(line: Column) -> Column:
     """The line without white space at either end (Unicode White_Space, line ends included)."""
-    return F.btrim(line, F.lit(_WHITE))
+    # Spark looks for a character in the whole of the set, so lines of ASCII only get the short one
+    plain = F.char_length(line) == F.octet_length(line)
+    return F.when(plain, F.btrim(line, F.lit(_WHITE_ASCII))).otherwise(F.btrim(line, F.lit(_WHITE)))
 
 
 def collocate_offset(code: Column) -> Column:

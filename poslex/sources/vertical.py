@@ -7,7 +7,7 @@ stretches of the text side by side, then what is left over in longer ones. Text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -137,23 +137,44 @@ READ = "value != '' AND NOT startswith(value, '#')"
 
 def clean(lines: DataFrame) -> DataFrame:
     """Lines without white space at their ends; blank and # lines go."""
-    return lines.select("line", trimmed(F.col("value")).alias("value")).where(READ)
+    return settled(lines.select("line", trimmed(F.col("value")).alias("value"))).where(READ)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows, each column of which is worked out once.
+
+    Spark moves a filter below the columns that it names and works these out anew in it, once for each mention; it moves none below a counter.
+    """
+    return rows.withColumn("_once", F.monotonically_increasing_id()).where("_once >= 0").drop("_once")
 
 
 _BLANK = "\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _read_tag(inner: Column) -> Column:
+    """kind, name and rest of what stands between < and >."""
+    end, own_end = inner.startswith("/"), inner.endswith("/")
+    body = F.when(end, trimmed(F.substring(inner, F.lit(2), F.length(inner)))).when(own_end, trimmed(F.substring(inner, F.lit(1), F.length(inner) - 1))).otherwise(inner)
+
+    def named(body: Column, name: Column) -> Column:
+        kind = F.when(name.isNull(), F.lit(None)).when(end, "end").when(own_end, "empty").otherwise("start")
+        rest = F.when(~end, trimmed(F.substring(body, F.length(name) + 1, F.length(body))))
+        return F.struct(kind.alias("kind"), name.alias("name"), rest.alias("rest"))
+
+    return _bound(body, lambda b: _bound(F.when(b != "", F.regexp_extract(b, f"^[^{_BLANK}]+", 0)), lambda name: named(b, name)))
+
+
 def tags(lines: DataFrame) -> DataFrame:
     """The lines with kind ('start', 'end', 'empty', or null for none), name and rest (the text of the attributes)."""
+    value = F.col("value")
     inner = trimmed(F.expr("substring(value, 2, length(value) - 2)"))
-    out = lines.withColumn("_in", F.when(F.col("value").startswith("<") & F.col("value").endswith(">") & (F.length("value") >= 2), inner))
-    end = F.col("_in").startswith("/")
-    own_end = F.col("_in").endswith("/")
-    body = F.when(end, trimmed(F.expr("substring(_in, 2)"))).when(own_end, trimmed(F.expr("substring(_in, 1, length(_in) - 1)"))).otherwise(F.col("_in"))
-    out = out.withColumn("_body", body).withColumn("name", F.when(F.col("_body") != "", F.regexp_extract("_body", f"^[^{_BLANK}]+", 0)))
-    kind = F.when(F.col("name").isNull(), F.lit(None)).when(end, "end").when(own_end, "empty").otherwise("start")
-    rest = F.when(~end, trimmed(F.expr("substring(_body, length(name) + 1)")))
-    return out.select(*lines.columns, kind.alias("kind"), "name", rest.alias("rest"))
+    out = lines.withColumn("_tag", F.when(value.startswith("<") & value.endswith(">") & (F.length("value") >= 2), _bound(inner, _read_tag)))
+    return out.select(*lines.columns, F.col("_tag.kind").alias("kind"), F.col("_tag.name").alias("name"), F.col("_tag.rest").alias("rest"))
 
 
 def parse_attributes(text: str) -> dict[str, str]:
@@ -202,10 +223,10 @@ def attributes(tagged: DataFrame) -> DataFrame:
     key = lambda x: F.substring_index(x, "=", 1)
     pair = lambda x: F.struct(key(x).alias("key"), F.substring(x, F.length(key(x)) + 3, F.length(x) - F.length(key(x)) - 3).alias("value"))
     found = F.regexp_extract_all(F.coalesce("rest", F.lit("")), F.lit(_PAIR), F.lit(0))
-    out = tagged.withColumn("_pairs", F.when(F.coalesce(F.col("rest").rlike(_PLAIN), F.lit(True)), F.transform(found, pair)))
+    out = settled(tagged).withColumn("_pairs", F.when(F.coalesce(F.col("rest").rlike(_PLAIN), F.lit(True)), F.transform(found, pair)))
     out = out.withColumn("_plain", F.coalesce(F.size(F.array_distinct("_pairs.key")) == F.size("_pairs"), F.lit(False)))
     odd = _attributes(F.when(~F.col("_plain"), F.col("rest")))
-    return out.withColumn("attrs", F.when(F.col("_plain"), F.map_from_entries("_pairs")).otherwise(odd)).drop("_pairs", "_plain")
+    return settled(out.withColumn("attrs", F.when(F.col("_plain"), F.map_from_entries("_pairs")).otherwise(odd)).drop("_pairs", "_plain"))
 
 
 def _replay(line: list[int], start: list[bool], name: list[int], alone: bool) -> Iterator[tuple[int, int | None, str | None]]:
@@ -299,8 +320,10 @@ class Parsed:
     def _tagged(self) -> DataFrame:
         """The lines, trimmed, with kind, name and rest, and whether they are tags of declared structures."""
         known = list(self.config.structures())
-        rows = self.lines.rows.withColumn("value", trimmed(F.col("value")))
-        return tags(rows).withColumn("tag", F.coalesce(F.col("kind").isNotNull() & F.col("name").isin(known), F.lit(False)) if known else F.lit(False))
+        rows = settled(self.lines.rows.withColumn("value", trimmed(F.col("value"))))
+        # most lines are told to be tokens by their first character
+        tag = F.coalesce(F.col("value").startswith("<") & F.col("name").isin(known), F.lit(False)) if known else F.lit(False)
+        return tags(rows).withColumn("tag", tag)
 
     @cached_property
     def _segments(self) -> DataFrame:

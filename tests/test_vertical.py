@@ -231,3 +231,16 @@ def test_configuration(monkeypatch, tmp_path):
         c.attribute("no.no")
     with pytest.raises(config.AttributeNotFound):
         config.Config.of("ATTRIBUTE word")
+
+
+def test_lines_are_trimmed_once(spark, tmp_path):
+    """The filters that tell tokens from tags use the trimmed line and don't trim it anew for each mention."""
+    (tmp_path / "a.vrt").write_text("<s>\n a \n</s>\n")
+    got = vertical.parse(vertical.Lines.of_files(spark, str(tmp_path)), config.Config.of(TWO))
+    lines = spark.createDataFrame([(1, ' <s a="1"> ')], "line long, value string")
+    tagged = vertical.attributes(vertical.tags(vertical.clean(lines))).selectExpr("explode(attrs)")
+    for df in (got.tokens, tagged):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("trim(value#") <= 4, plan
+    assert [r["word"] for r in got.tokens.collect()] == ["a"]
+    assert [tuple(r) for r in tagged.collect()] == [("a", "1")]
