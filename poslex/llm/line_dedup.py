@@ -11,7 +11,7 @@ of each distinct set, pair postings of a token under length, positional and bitm
 Equal sets meet by their identity and only their first line is posted. A line needs one match only, so n near copies of
 a line don't come out as their n * n / 2 pairs: from each token's postings a line gets the earlier one whose bitmap is nearest,
 and only lines with further candidates that none of these matches are paired with all of them. Records travel through a shuffle as column
-blocks, one for each task and bucket; a task holds the blocks of its buckets in memory. The whole sets of lines in
+blocks, one for each task and bucket; a task holds the blocks of one bucket in memory, and there are buckets in proportion to the tokens. The whole sets of lines in
 candidate pairs are read from the texts: up to MOST_NAMES lines by a broadcast bitmap of their names that is sized by
 their count, so that few others are read with them, beyond that by joins on names and on documents.
 
@@ -35,6 +35,8 @@ from . import _run, _vec
 from ._vec import U
 
 BUCKETS = 1 << 20
+#: Tokens of the input to a bucket of lines or of postings, the blocks of which one task holds in memory.
+BUCKET_TOKENS = 1 << 22
 #: Lines in candidate pairs up to which a bitmap is broadcast: SPARSE bits for each, 16 MiB at most.
 MOST_NAMES = 1 << 22
 SPARSE = 32
@@ -127,14 +129,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["bucket", "n"])
 
 
-def _ranks(docs: DataFrame) -> np.ndarray:
-    """Rank of each bucket by count, over all texts; as large for any input."""
+def _ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Rank of each bucket by count, over all texts, as large for any input; and the number of tokens."""
     counts = docs.select("text").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(BUCKETS, np.int64)
     total[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     rank = np.empty(BUCKETS, np.uint32)
     rank[np.argsort(total, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
-    return rank
+    return rank, int(total.sum())
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -230,6 +232,7 @@ def _firsts(percent: int):
         keep = _kept(n.astype(np.int64), percent)
         start = np.cumsum(keep) - keep
         sizes, words = n, np.stack(_columns(wide, _WORDS), 1)
+        del fixed, prefix, wide
         order = np.lexsort((line, th, doc, n, bits, ident))
         ident, bits, doc, th, line, n = (x[order] for x in (ident, bits, doc, th, line, n))
         head = np.r_[True, (ident[1:] != ident[:-1]) | (bits[1:] != bits[:-1]) | (n[1:] != n[:-1])]
@@ -284,6 +287,7 @@ def _passing(percent: int, blobs: list[bytes], wide: list[bytes], block: int) ->
     p = percent
     name, bits, token, n, rest, doc = _columns(blobs, _POST)
     words = np.stack(_columns(wide, _WORDS), 1)
+    blobs.clear(), wide.clear()  # they would be in memory twice
     key = (token.astype(U) << U(32)) | n
     order = np.argsort(key)
     large = (n >= WIDE)[order]
@@ -469,14 +473,16 @@ def _whole(base: DataFrame, sets: DataFrame, pairs: DataFrame, rank, most: int)
 def _gone(base: DataFrame, percent: int, most: int) -> DataFrame:
     """doc, th, n_gone and a mask of the lines to remove, for each document that has any."""
     spark, p = base.sparkSession, percent
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rank = spark.sparkContext.broadcast(_ranks(base))
+    rank, tokens = _ranks(base)
+    # a task holds its bucket in memory, so buckets are as many as the tokens ask for, and aren't put together to fewer
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+    rank = spark.sparkContext.broadcast(rank)
     base = base.select("doc", "th", "text")
-    blocks = base.mapInArrow(_prefixes(rank, p, buckets), "bucket int, fixed binary, prefix binary, wide binary").repartition("bucket")
+    blocks = base.mapInArrow(_prefixes(rank, p, buckets), "bucket int, fixed binary, prefix binary, wide binary").repartitionById(buckets, F.col("bucket"))
     sets = _run.materialise(blocks.mapInArrow(_firsts(p), "kind int, fixed binary, prefix binary, wide binary"), "sets")
 
     def paired(tokens=None, lines=None) -> DataFrame:
-        posts = sets.where("kind = 0").select("fixed", "prefix", "wide").mapInArrow(_posts(p, buckets, tokens), "bucket int, block binary, wide binary").repartition("bucket")
+        posts = sets.where("kind = 0").select("fixed", "prefix", "wide").mapInArrow(_posts(p, buckets, tokens), "bucket int, block binary, wide binary").repartitionById(buckets, F.col("bucket"))
         return _run.materialise(posts.mapInArrow(_paired(p, lines), "a long, b long, more boolean").distinct(), "pairs")
 
     pairs = paired()

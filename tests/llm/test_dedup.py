@@ -288,3 +288,20 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["name"]: r["least"] for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_buckets_of_lines_follow_the_tokens(spark, monkeypatch):
+    """A task holds the lines of one bucket, which isn't put together with others, however few shuffle partitions there are."""
+    made, own = {}, line_dedup._run.materialise
+
+    def spy(df, name):
+        out = own(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "BUCKET_TOKENS", 50, raising=False)
+    monkeypatch.setattr(line_dedup._run, "materialise", spy)
+    rows = [(i, "\n".join(f"word{i} thing{j} more{i + j} text" for j in range(5)) + "\nthe same line for all") for i in range(60)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got) == [0] + [1] * 59
+    assert made["sets"] >= 2 * 20
